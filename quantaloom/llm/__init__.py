@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantaloom.llm import exact_dedup, packing, secret_scan, sharding, simhash, token_counts
+from quantaloom.llm import exact_dedup, license_scan, packing, secret_scan, sharding, simhash, token_counts
 
-MODULES = (simhash, packing, exact_dedup, sharding, token_counts, secret_scan)
+MODULES = (simhash, license_scan, packing, exact_dedup, sharding, token_counts, secret_scan)
 
 
 def queries() -> dict:
