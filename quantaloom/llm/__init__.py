@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantaloom.llm import decontaminate, exact_dedup, license_scan, packing, secret_scan, sharding, simhash, token_counts, toxicity
+from quantaloom.llm import chat_format, decontaminate, exact_dedup, license_scan, packing, secret_scan, sharding, simhash, token_counts, toxicity
 
-MODULES = (simhash, license_scan, packing, decontaminate, toxicity, exact_dedup, sharding, token_counts, secret_scan)
+MODULES = (simhash, license_scan, packing, chat_format, decontaminate, toxicity, exact_dedup, sharding, token_counts, secret_scan)
 
 
 def queries() -> dict:
