@@ -80,7 +80,7 @@ def default_vocabulary() -> str:
 
 def pieces_of(docs: DataFrame, capacity: int, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end token, cut only where longer than ``capacity``."""
-    schema = docs.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +248,14 @@ def pack(docs: DataFrame, capacity: int = 4096, vocabulary: str | None = None) -
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with a ``length`` of 1 to ``capacity``."""
     plan = make_plan({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
-    ranked = numbered(pieces, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.struct("doc_id", "start"), "_rank")
+    ranked = numbered(pieces, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.struct("doc_id", "start"), "_nth")
     looked_up = {length: (np.array(plan.starts[length]), np.array(plan.runs[length], np.int64)) for length in plan.starts}
     shared = pieces.sparkSession.sparkContext.broadcast(looked_up)  # grows with the number of lengths, not with the pieces
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = pieces.select("*").schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("_nth").to_numpy()
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             ends = np.flatnonzero(np.diff(length[order])) + 1
@@ -265,7 +265,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
                 sequence[own], offset[own] = runs[at, 0] + rank[own] - starts[at], runs[at, 1]
             yield pa.record_batch([*(batch.column(c) for c in schema.names[:-2]), pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(run, schema)
+    return ranked.select(*pieces.columns, "_nth").mapInArrow(run, schema)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
