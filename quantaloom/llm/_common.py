@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +17,24 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 256
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers of this session the package, once, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_quantaloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    if root.is_dir():  # else it came as an archive, and workers have that
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="quantaloom-ship-"))
+        context.addPyFile(shutil.make_archive(f"{folder}/quantaloom", "zip", root, "quantaloom"))
+    context._quantaloom_shipped = True
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with workers that can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

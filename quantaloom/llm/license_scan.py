@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import cut, slices, table, texts_of
+from quantaloom.llm._common import cut, mapped, slices, table, texts_of
 from quantaloom.llm._words import Words, grouped, mix, words_of
 
 #: Phrases of the base and their labels.
@@ -111,7 +111,7 @@ def base_rows(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
-    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "k1", "k2", "text"), run, schema)
 
 
 def rolling_rows(docs: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def rolling_rows(docs: DataFrame) -> DataFrame:
                 keys = [batch.column(c).slice(first, len(texts)) for c in ("k1", "k2")]
                 yield pa.record_batch([*keys, pa.ListArray.from_arrays(ends, pa.array(hashes))], names=["k1", "k2", "hashes"])
 
-    rolled = docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, hashes array<long>")
+    rolled = mapped(docs.select("k1", "k2", "text"), run, "k1 long, k2 long, hashes array<long>")
     return rolled.select("k1", "k2", F.posexplode("hashes").alias("p", "h"))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import cut, numbered, table
+from quantaloom.llm._common import cut, numbered, ship, table
 
 #: Fixed value: the multiplier of the published algorithm's generator.
 MULTIPLIER = 2862933555777941757
@@ -50,6 +50,7 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless within its shard), grown_shard (with one shard more)."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size")
     placed = docs.select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm._common import slices, table, texts_of
+from quantaloom.llm._common import mapped, slices, table, texts_of
 
 SPACE = "▁"
 #: Parts of a text whose counts a worker keeps, and the longest part kept.
@@ -122,7 +122,7 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = 40
             tokens = [count(t) for t in texts]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def default_model() -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import slices, table, texts_of
+from quantaloom.llm._common import mapped, slices, table, texts_of
 from quantaloom.llm._words import Words, grouped, mix, words_of
 
 #: Bound of the training sample: labelled texts of each kind.
@@ -354,7 +354,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             ids, found = batch.column("doc_id"), scores(batch)
             yield pa.record_batch([ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def keep_clean(docs: DataFrame, net: Network | None, threshold: float = 0.5) -> DataFrame:
@@ -365,7 +365,7 @@ def keep_clean(docs: DataFrame, net: Network | None, threshold: float = 0.5) ->
         for batch in slices(batches):
             yield batch.filter(pa.array(scores(batch) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
