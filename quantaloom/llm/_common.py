@@ -68,6 +68,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[Column], spread: Column, name: str, rows_a_task: int = 50_000) -> DataFrame:
     """Adds ``name``: gapless numbers from 0 within each of ``groups``.
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import cut, table
+from quantaloom.llm._common import cut, table, unused
 
 
 def normalised(text: Column) -> Column:
@@ -65,19 +65,21 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of equal texts the one with the smallest doc_id."""
     spark = docs.sparkSession
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    stay = cut(index.add(docs.select("doc_id", "text")).where("kept").select("doc_id", F.col("text_sha256").alias("_digest")))
-    keyed = docs.withColumn("_digest", digest_of(F.col("text")))
-    stay = stay.select(F.col("doc_id").alias("_keep_id"), F.col("_digest").alias("_keep_digest"))
-    on = keyed["doc_id"].eqNullSafe(stay["_keep_id"]) & (keyed["_digest"] == stay["_keep_digest"])
-    left = keyed.join(stay, on, "left_semi")
-    twice = keyed.groupBy("doc_id", "_digest").count().where("count > 1")
+    stay = cut(index.add(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")))
+    digest = unused(docs, "digest")
+    keyed = docs.withColumn(digest, digest_of(F.col("text")))
+
+    def same(other: DataFrame):
+        return keyed["doc_id"].eqNullSafe(other["id"]) & (keyed[digest] == other["sha"])
+
+    left = keyed.join(stay, same(stay), "left_semi")
+    twice = keyed.groupBy("doc_id", digest).count().where("count > 1")
     if twice.isEmpty():
-        return left.drop("_digest")
+        return left.drop(digest)
     # Rows equal in doc_id and text: only these are dealt by key to leave one of each.
-    again = twice.select(F.col("doc_id").alias("_again_id"), F.col("_digest").alias("_again_digest"))
-    on = left["doc_id"].eqNullSafe(again["_again_id"]) & (left["_digest"] == again["_again_digest"])
-    once = left.join(again, on, "left_anti")
-    return once.unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id", "_digest"])).drop("_digest")
+    twice = cut(twice.select(F.col("doc_id").alias("id"), F.col(digest).alias("sha")))
+    once = left.join(twice, same(twice), "left_anti")
+    return once.unionByName(left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", digest])).drop(digest)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
