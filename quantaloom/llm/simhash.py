@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import cut, slices, table, texts_of
+from quantaloom.llm._common import cut, mapped, slices, table, texts_of
 from quantaloom.llm.components import components
 
 #: Nodes of a block that one cell takes; two chunks of this size meet in a cell.
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, distinct: bool = F
                 found.append(fingerprint(np.unique(hashes) if distinct else hashes, lanes).astype(">u8").tobytes())
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def pigeonhole_keys(distance: int, nodes: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -120,7 +120,7 @@ def differing_share(similarity: float) -> float:
 def _bits(start: int, size: int) -> Column:
     """Bits ``start`` to ``start + size`` of the fingerprint's bytes, counted from the front, as a long."""
     first, last = start // 8, (start + size - 1) // 8
-    number = F.conv(F.hex(F.substring("fp", first + 1, last - first + 1)), 16, 10).cast("decimal(38,0)").cast("long")
+    number = F.conv(F.hex(F.substring("fp", first + 1, last - first + 1)), 16, 10).cast("long")  # well below 8 bytes
     return F.shiftright(number, (last + 1) * 8 - start - size).bitwiseAND(F.lit((1 << size) - 1))
 
 
@@ -133,17 +133,25 @@ def _block_key(n: int, ranges: list[tuple[int, int]]) -> Column:
 
 def links(nodes: DataFrame, keys: list[tuple[int, list[tuple[int, int]]]], distance: int) -> DataFrame:
     """(a, b): links between fingerprints of ``nodes`` (distinct ``fp``, a written table) at ``distance`` bits or fewer that
-    share a key; of each cell a spanning forest."""
+    share a key; of each cell a spanning forest. Blocks are counted first, so that each row is shuffled once, to its
+    block or, from a crowded one, to the cells of its chunk."""
     keyed = nodes.select("fp", F.explode(F.array(*(_block_key(*k) for k in keys))).alias("key")).select("fp", F.col("key.n").alias("n"), F.col("key.v").alias("v"))
-    crowd = cut(keyed.groupBy("n", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    met = keyed.join(crowd, ["n", "v"])
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = met.withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", other)
-    dealt = dealt.select("fp", "n", "v", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk")
-    dealt = dealt.repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
-    return dealt.mapInArrow(_compare(distance), "a binary, b binary")
+    crowded = cut(keyed.groupBy("n", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK))
+    none = F.lit(0).cast("int")
+    if crowded.isEmpty():
+        calm, dealt = keyed, None
+    else:
+        calm = keyed.join(crowded, ["n", "v"], "left_anti")
+        chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        dealt = keyed.join(crowded, ["n", "v"]).withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", other)
+        dealt = dealt.select("fp", "n", "v", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk")
+        dealt = dealt.repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
+        dealt = mapped(dealt, _compare(distance), "a binary, b binary")
+    calm = calm.select("fp", "n", "v", none.alias("x"), none.alias("y"), none.alias("chunk"))
+    calm = mapped(calm.repartition("n", "v").sortWithinPartitions("n", "v"), _compare(distance), "a binary, b binary")
+    return calm if dealt is None else calm.unionByName(dealt)
 
 
 def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -154,7 +162,7 @@ def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 if not batch.num_rows:
                     continue
                 cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "v", "x", "y")], 1)
-                prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+                prints = _numbers(batch.column("fp"))
                 chunk = batch.column("chunk").to_numpy()
                 if rest:
                     cells, prints, chunk = (np.concatenate(x) for x in zip(rest, (cells, prints, chunk), strict=True))
@@ -176,6 +184,12 @@ def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Equally long binary values as rows of 64-bit numbers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(">u8").astype(np.uint64).reshape(len(column), -1)
+
+
 def _binary(prints: np.ndarray) -> pa.Array:
     raw, size = prints.astype(">u8").tobytes(), prints.shape[1] * 8
     return pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
@@ -208,30 +222,34 @@ def close_in_cells(starts: np.ndarray, cells: np.ndarray, prints: np.ndarray, ch
     for at in np.flatnonzero(sizes > SMALL):
         rows = np.arange(starts[at], starts[at] + sizes[at])
         x, y = cells[starts[at], 2:]
-        a, b = (rows, rows) if x == y else (rows[chunk[rows] == x], rows[chunk[rows] == y])
-        for i, j in _forest(prints, a, b, distance):
-            out_a.append(np.array([i]))
-            out_b.append(np.array([j]))
+        a, b = _forest(prints[rows], None if x == y else chunk[rows] == x, distance)
+        out_a.append(rows[a])
+        out_b.append(rows[b])
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _forest(prints: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between rows ``a`` and rows ``b``."""
-    parent: dict[int, int] = {}
+def _forest(prints: np.ndarray, first: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between rows that are ``first`` and those that aren't; between all if None.
 
-    def root(i: int) -> int:
-        while (up := parent.setdefault(i, i)) != i:
-            parent[i] = i = parent.setdefault(up, up)
-        return i
-
-    for i in a.tolist():
-        js = b[b > i] if a is b else b
-        if not len(js):
+    Rows known to belong together are not compared again, so a cell of close copies takes linear time.
+    """
+    label, a, b = np.arange(len(prints)), [], []
+    for i in range(len(prints)) if first is None else np.flatnonzero(first).tolist():
+        apart = label != label[i]
+        if first is None:
+            apart[:i] = False
+        else:
+            apart &= ~first
+        others = np.flatnonzero(apart)
+        if not len(others):
             continue
-        for j in js[_near(np.broadcast_to(prints[i], (len(js), prints.shape[1])), prints[js], distance)].tolist():
-            if (x := root(i)) != (y := root(j)):
-                parent[y] = x
-                yield i, j
+        near = others[_near(np.broadcast_to(prints[i], (len(others), prints.shape[1])), prints[others], distance)]
+        if len(near):
+            joined, at = np.unique(label[near], return_index=True)
+            label[np.isin(label, joined)] = label[i]
+            a += [i] * len(joined)
+            b += near[at].tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def classes(prints: DataFrame, link: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -252,7 +270,7 @@ def near_classes(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFram
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 1.0) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 0.7) -> DataFrame:
     """(doc_id, component_id): classes of texts whose sets of word shingles have a Jaccard ``similarity`` or more.
 
     Wide fingerprints estimate the similarity; a pair links if its unequal bits are no more than expected at
