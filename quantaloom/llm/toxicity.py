@@ -32,7 +32,7 @@ MAX_TOXIC, MAX_CLEAN = 700, 1300
 WINDOW, STRIDE = 32, 16
 #: Hash buckets of words and character trigrams; width of their vectors and of each direction's state.
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, STATE = 1 << 14, 1 << 13, 16, 8
-EPOCHS, MAX_ROUNDS, BATCH, RATE, DECAY, SEED = 4, 16, 256, 0.01, 0.01, 7
+EPOCHS, MAX_ROUNDS, BATCH, RATE, DECAY, SEED = 4, 12, 256, 0.01, 0.01, 7
 THRESHOLD = 0.3
 KEEP_WORD = 0.5
 #: Windows that the network runs over at once.
@@ -241,7 +241,7 @@ def train(texts: list[str], toxic: list[int]) -> Network | None:
         weight[positive] *= max(1.0, 0.5 * weight[~positive].sum() / max(1.0, weight[positive].sum()))
         live = np.flatnonzero(weight)
         g.shuffle(live)
-        for at in np.array_split(live, max(1, len(live) // BATCH)):
+        for at in np.array_split(live, max(1, len(live) // min(BATCH, max(32, len(live) // 40)))):
             some, ids = _part(types, windows[at])
             gate = (g.random(len(some.word)) < KEEP_WORD).astype(np.float32)  # words are dropped, so that characters must tell
             grads = net.gradients(some, ids, target[at], weight[at], gate)
