@@ -13,7 +13,9 @@ An empty table gives no rows. Columns other than doc_id and text are not looked
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import itertools
 import re
 import zlib
 from bisect import bisect_right
@@ -24,17 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import cut, numbered, slices, table, texts_of
+from quantaloom.llm._common import cut, mapped, numbered, slices, table, texts_of
 
 #: Words whose ids a worker keeps, and the longest word kept.
-MEMO_WORDS, MEMO_CHARS = 300_000, 40
+MEMO_WORDS, MEMO_CHARS = 400_000, 40
+
+
+#: Letters of Latin-1, whose case and composition need no look at their neighbours.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class WordEncoder:
     """Ids of whole texts, as the tokenizers library gives them, from a bounded memo of words.
 
-    The vocabulary's pre-tokenizer never joins text over white space, nor an ASCII letter with a full stop or comma
-    after it, so the ids of a text are those of its words in a row. Ids are kept as little-endian bytes.
+    The vocabulary's pre-tokenizer never joins text over white space, nor a letter with a punctuation mark after it, so the
+    ids of a text are those of its words in a row. Ids are kept as little-endian bytes. New words of letters only are
+    given to the library many in a line, and told apart by its mark at the end of a word.
     """
 
     def __init__(self, file: str) -> None:
@@ -44,28 +51,47 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
-        self.words = re.compile(r"[A-Za-z]+(?=[.,])|[^ \t\n\r]+").findall
+        self.words = re.compile(rf"[{_LETTERS}]++(?=[!-&(-/:-@\[-`{{-~])|[^ \t\n\r]+").findall
         self.whole = re.compile(r"[^ \t\n\r]+").findall
+        self.plain = re.compile(rf"[{_LETTERS}]+").fullmatch
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for piece, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[number] = piece.endswith("</w>")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of unsigned 32-bit numbers."""
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        lowered = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
-        split = [(self.whole if "<|" in t else self.words)(t) for t in lowered]
-        new = list({w for words in split for w in words if w not in memo})
-        own: dict[str, bytes] = {}
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (memo if len(word) <= MEMO_CHARS else own)[word] = np.array(found.ids, "<u4").tobytes()
-        memo.update(own)
+        split = [self.split(t) for t in texts]
+        new = {w for words in split for w in words if w not in memo}
+        plain = [w for w in new if self.plain(w)]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) == len(some):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(some, last, strict=True):
+                    memo[word] = raw[4 * start : 4 * end]
+                    start = end
+        for some in itertools.batched((w for w in new if w not in memo), 5000):
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
+                memo[word] = np.array(found.ids, "<u4").tobytes()
         out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for word in own:
-            del memo[word]
+        for word in new:
+            if len(word) > MEMO_CHARS:
+                del memo[word]
         return out
 
+    def split(self, text: str) -> list[str]:
+        if "<|" in text:  # may be a special token, which is looked for in the text as it is
+            return self.whole(text)
+        with contextlib.suppress(UnicodeEncodeError):
+            text.encode("latin-1")
+            text = text.lower()
+        return self.words(text)
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(file: str) -> WordEncoder:
@@ -97,7 +123,7 @@ def pieces_of(docs: DataFrame, capacity: int, vocabulary: str | None = None, end
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 class Plan:
@@ -265,7 +291,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
                 sequence[own], offset[own] = runs[at, 0] + rank[own] - starts[at], runs[at, 1]
             yield pa.record_batch([*(batch.column(c) for c in schema.names[:-2]), pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return ranked.select(*pieces.columns, "_nth").mapInArrow(run, schema)
+    return mapped(ranked.select(*pieces.columns, "_nth"), run, schema)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
