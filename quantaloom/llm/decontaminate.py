@@ -15,6 +15,7 @@ empty table of either kind gives no rows. Other columns are not looked at, whate
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm._common import slices, table, texts_of
-from quantaloom.llm._words import grouped, mix, words_of
+from quantaloom.llm._common import mapped, slices, table, texts_of
+from quantaloom.llm._words import Words, grouped, mix, words_of
 
 #: Window in words, steps of its walk, steps sampled: by the least number of words an item must have, largest first.
 CLASSES = ((8, 16, 5), (4, 6, 3), (1, 1, 1))
@@ -37,6 +38,7 @@ ITEMS_AT_ONCE = 20_000
 _SEED = 20_240_229
 
 
+@functools.lru_cache(maxsize=64)
 def _steps(size: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers of each step, whose product with a symbol gives its random bit; and the sampled steps."""
     walk, samples = next((w, k) for n, w, k in CLASSES if n == size)
@@ -91,61 +93,92 @@ def build_index(ids: list, texts: list[str]) -> Index:
     return Index(ids, items, keys)
 
 
-def candidates(index: Index, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place at which the item would begin, item), distinct, for all walks that have a sample in common with an item's."""
+def candidates(index: Index, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, place at which the item would begin), distinct, for all walks that have a sample in common with an item's."""
     out: list[np.ndarray] = []
-    starts = np.arange(len(symbols))
+    starts = np.arange(len(words.hash))
     for (size, repetition), (keys, items, offsets, rare) in index.keys.items():
-        found, _ = embed(symbols, starts, size, repetition)
+        found, _ = embed(words.hash, starts, size, repetition)
         at = np.flatnonzero(rare[(found >> np.uint64(46)).astype(np.int64)])
         low, high = np.searchsorted(keys, found[at]), np.searchsorted(keys, found[at], "right")
         many = high - low
         if not many.sum():
             continue
         rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-        out.append(np.stack([np.repeat(at, many) - offsets[rows], items[rows]]))
-    both = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
-    return both[0], both[1]
-
-
-def fit(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(edits, first, end): the least edit distance in words of ``item`` to a part of ``text``, and the first such part."""
-    n = len(text)
-    cost, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
+        anchor = np.repeat(at, many)
+        out.append(np.stack([words.doc[anchor], items[rows], anchor - offsets[rows]]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    doc, item, start = np.concatenate(out, 1)
+    order = np.lexsort((start, item, doc))
+    doc, item, start = doc[order], item[order], start[order]
+    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0)]
+    return doc[new], item[new], start[new]
+
+
+def fit(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, first, end) for each row of ``texts``: the least edit distance in words of ``item`` to a part of the row,
+    and the first such part."""
+    rows, n = texts.shape
     steps = np.arange(n + 1)
-    for i, word in enumerate(item.tolist(), 1):
-        swap, swap_from = cost[:-1] + (text != word), begin[:-1]
-        drop, drop_from = cost[1:] + 1, begin[1:]
+    cost, begin = np.zeros((rows, n + 1), np.int64), np.tile(steps, (rows, 1))
+    for i, word in enumerate(item, 1):
+        swap, drop = cost[:, :-1] + (texts != word), cost[:, 1:] + 1
+        cost[:, 0], best_from = i, begin.copy()
+        best_from[:, 0] = 0
         better = swap <= drop
-        best, best_from = np.r_[i, np.where(better, swap, drop)], np.r_[0, np.where(better, swap_from, drop_from)]
-        # Words put into the text: the least of (best at j) + (steps on from j), running.
-        rest = np.minimum.accumulate(best - steps)
-        kept = np.maximum.accumulate(np.where(best - steps == rest, steps, 0))
-        cost, begin = rest + steps, best_from[kept]
-    end = int(cost.argmin())
-    return int(cost[end]), int(begin[end]), end
-
-
-def matches(index: Index, symbols: np.ndarray, max_edits: float = MAX_EDITS) -> list[tuple[int, int, int, int]]:
-    """(item, edits, first word, end) of each verified place in a text, by item and place; overlapping places once."""
-    out: list[tuple[int, int, int, int]] = []
-    start, item = candidates(index, symbols)
-    done: dict[int, int] = {}
-    order = np.lexsort((start, item))
-    for at, i in zip(start[order].tolist(), item[order].tolist(), strict=True):
-        words = index.words[i]
-        most = int(max_edits * len(words))
-        if at < done.get(i, -1):
+        cost[:, 1:] = np.where(better, swap, drop)
+        best_from[:, 1:] = np.where(better, begin[:, :-1], begin[:, 1:])
+        # Words put into the text: the least of (cost at j) + (steps on from j), running.
+        ahead = cost - steps
+        rest = np.minimum.accumulate(ahead, axis=1)
+        kept = np.maximum.accumulate(np.where(ahead == rest, steps, 0), axis=1)
+        cost, begin = rest + steps, np.take_along_axis(best_from, kept, 1)
+    end = cost.argmin(1)
+    at = np.arange(rows)
+    return cost[at, end], begin[at, end], end
+
+
+def matches(index: Index, words: Words, max_edits: float = MAX_EDITS) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By text: (item, edits, first word, end) of each verified place, by item, then edits, then place; overlapping ones once."""
+    doc, item, start = candidates(index, words)
+    bounds = words.bounds()
+    found: list[tuple[int, int, int, int, int]] = []
+    padded = np.r_[words.hash, np.zeros(1, np.uint64)]
+    for i in np.unique(item).tolist():
+        wanted = index.words[i]
+        n = len(wanted)
+        most = int(max_edits * n)
+        own = item == i
+        d, at = doc[own], start[own]
+        low, high = bounds[d], bounds[d + 1]
+        inside = (at >= low) & (at + n <= high)
+        same = inside.copy()
+        same[inside] = (words.hash[at[inside][:, None] + np.arange(n)] == wanted).all(1)
+        found += [(x, i, 0, y, y + n) for x, y in zip(d[same].tolist(), at[same].tolist(), strict=True)]
+        if not most:
             continue
-        if at >= 0 and np.array_equal(symbols[at : at + len(words)], words):
-            edits, first, end = 0, at, at + len(words)
-        else:
-            low = max(0, at - most)
-            edits, first, end = fit(words, symbols[low : at + len(words) + most])
-            first, end = first + low, end + low
-        if edits <= most and end > first and not any(o[0] == i and o[2] < end and first < o[3] for o in out[-3:]):
-            out.append((i, edits, first, end))
-            done[i] = end - most if edits else end
+        # The words around each other place; none beyond its text.
+        d, at, low, high = (x[~same] for x in (d, at, low, high))
+        for some in np.array_split(np.arange(len(d)), max(1, len(d) // 2048)):
+            where = at[some][:, None] + np.arange(-most, n + most)
+            where = np.where((where >= low[some][:, None]) & (where < high[some][:, None]), where, len(words.hash))
+            around = padded[where]
+            # As many words as edits leave must be words of the item.
+            likely = np.isin(around, wanted).sum(1) >= n - most
+            if not likely.any():
+                continue
+            edits, first, end = fit(wanted, around[likely])
+            first, end = first + at[some][likely] - most, end + at[some][likely] - most
+            good = (edits <= most) & (end > first)
+            clip = np.maximum(first, low[some][likely]), np.minimum(end, high[some][likely])
+            found += [(x, i, e, y, z) for x, e, y, z in zip(d[some][likely][good].tolist(), edits[good].tolist(), clip[0][good].tolist(), clip[1][good].tolist(), strict=True)]
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+    for d, i, edits, first, end in sorted(found):
+        places = out.setdefault(d, [])
+        first, end = first - int(bounds[d]), end - int(bounds[d])
+        if not any(o[0] == i and o[2] < end and first < o[3] for o in places):
+            places.append((i, edits, first, end))
     return out
 
 
@@ -159,15 +192,8 @@ def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
 def _found(index: Index, batch: pa.RecordBatch, max_edits: float) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
     """(row, matches) for the rows of a batch that have any."""
     for first, texts in grouped(texts_of(batch)):
-        words = words_of(texts)
-        bounds = words.bounds().tolist()
-        # All texts at once; a place that runs over the end of its text is found and verified within it only.
-        start, _ = candidates(index, words.hash)
-        hit = np.unique(words.doc[np.clip(start, 0, max(0, len(words.doc) - 1))]) if len(start) else []
-        near = {int(d) + k for d in hit for k in (-1, 0, 1)}
-        for d in sorted(x for x in near if 0 <= x < len(texts)):
-            if found := matches(index, words.hash[bounds[d] : bounds[d + 1]], max_edits):
-                yield first + d, found
+        for doc, places in matches(index, words_of(texts), max_edits).items():
+            yield first + doc, places
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
@@ -185,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
             for batch in slices(batches):
                 rows: list[tuple] = []
                 for row, found in _found(index, batch, max_edits):
-                    for item, group in itertools.groupby(sorted(found), key=lambda m: m[0]):
+                    for item, group in itertools.groupby(found, key=lambda m: m[0]):
                         places = list(group)
                         _, edits, first, end = places[0]
                         rows.append((row, index.ids[item], edits, first, end - first, len(index.words[item]), len(places)))
@@ -193,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
                 ids = batch.column("doc_id").take(pa.array(columns[0], pa.int64()))
                 yield pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in columns[1:])], names=schema.names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = mapped(docs.select("doc_id", "text"), run, schema)
         out = part if out is None else out.unionByName(part)
     return session.createDataFrame([], schema) if out is None else out
 
@@ -210,7 +236,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs
 
 
