@@ -28,7 +28,10 @@ def ints(values) -> Column:
 
 
 def let(value: Column, use) -> Column:
-    """``use(value)`` with the value made once, however often it is named; inside a lambda a column is made again each time."""
+    """``use(value)`` with the value made once, however often it is named; inside a lambda a column is made again each time.
+
+    Not for what a Python function takes: Spark does not always recognise a function over nested lambdas again.
+    """
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -50,7 +53,9 @@ def rotate(vector: Column, p: QuantParams) -> Column:
 
 
 def unrotate(rotated: Column, p: QuantParams) -> Column:
-    """``rotate`` undone: coordinate c was moved to place inverse[c], with that place's sign."""
+    """``rotate`` undone: coordinate c was moved to place inverse[c], with that place's sign. Give it a column, not an expression."""
+    if p.dim <= UNROLLED:
+        return F.array(*(F.get(rotated, F.lit(int(at))) * F.lit(float(p.signs[at])) for at in p.inverse))
     signs = doubles(p.signs[p.inverse])
     return let(rotated, lambda x: F.transform(ints(p.inverse), lambda at, i: F.get(x, at) * F.get(signs, i)))
 
@@ -106,11 +111,8 @@ def bitpack(idx: Column, dim: int, bits: int) -> Column:
 
 
 def unpack(words: Column, dim: int, bits: int) -> Column:
+    """Symbols of words. Give it a column, not an expression: it is named for each symbol."""
     _unrolled(dim)
-    return let(words, lambda w: _symbols(w, dim, bits))
-
-
-def _symbols(words: Column, dim: int, bits: int) -> Column:
     mask, out = F.lit((1 << bits) - 1).cast("long"), []
     for i in range(dim):
         at, shift = divmod(i * bits, 32)
@@ -122,7 +124,8 @@ def _symbols(words: Column, dim: int, bits: int) -> Column:
 
 
 def delta_xor(words: Column) -> Column:
-    return let(words, lambda x: F.transform(x, lambda w, i: w.bitwiseXOR(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(x, i - 1)))))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+    return F.zip_with(words, before, lambda w, b: w.bitwiseXOR(b))
 
 
 def undo_delta_xor(words: Column) -> Column:

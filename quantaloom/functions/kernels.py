@@ -71,6 +71,16 @@ def unpack(words: np.ndarray, dim: int, bits: int) -> np.ndarray:
     return (flat.reshape(len(words), dim, bits).astype(np.int32) << np.arange(bits)).sum(2, dtype=np.int32)
 
 
+def delta_xor(words: np.ndarray) -> np.ndarray:
+    out = words.copy()
+    out[:, 1:] ^= words[:, :-1]
+    return out
+
+
+def undo_delta_xor(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.accumulate(words, axis=1)
+
+
 def crc32c(words: np.ndarray, bit_count: np.ndarray) -> np.ndarray:
     table = np.array(crc32c_table(), np.uint32)
     raw = np.concatenate([words, bit_count[:, None]], 1).astype("<u4").view(np.uint8)

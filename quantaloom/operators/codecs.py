@@ -31,6 +31,11 @@ def require_huffman(enabled: bool) -> None:
         raise HuffmanDisabled("Huffman coding is experimental: switch it on with experimental_huffman=True")
 
 
+def once(f):
+    """The function, kept where it stands in a plan: a chain of them is neither folded together nor run twice."""
+    return f.asNondeterministic()
+
+
 def _stamped(df: DataFrame, engine: str = "native") -> DataFrame:
     """Counts the words and sets the checksum, over written bits where known."""
     df = df.withColumn("word_count", F.size("payload_words"))
@@ -65,7 +70,7 @@ def _crc_udf(df: DataFrame):
             out[own] = kernels.crc32c(rows, counts[own])
         return pa.array(out, mask=~given)
 
-    return run
+    return once(run)
 
 
 def bitpack(df: DataFrame, p: QuantParams, engine: str = "native") -> DataFrame:
@@ -80,16 +85,33 @@ def bitpack(df: DataFrame, p: QuantParams, engine: str = "native") -> DataFrame:
             k, given = kernels.matrix(idx, p.dim, "int64")
             return kernels.lists(kernels.pack(k, p.mse_bits), given, pa.int64())
 
-        words = run(F.col("idx"))
-    packed = df.withColumn("payload_words", F.when(F.col("idx").isNotNull(), words)).drop("idx")
+        words = once(run)(F.col("idx"))
+    packed = df.withColumn("payload_words", F.when(F.col("idx").isNotNull(), words) if engine == "native" else words).drop("idx")
     return _ordered(_stamped(_blank(packed, "bitpacked", p), engine))
 
 
 def delta_xor(packets: DataFrame, engine: str = "arrow") -> DataFrame:
     """Each word xored with the one before it. Only bitpacked packets are taken: another would decode to other indices."""
     wrong = F.raise_error(F.concat(F.lit("delta_xor takes bitpacked packets, not "), F.coalesce("encoding", F.lit("null")))).cast("array<bigint>")
-    words = F.when(F.col("encoding") == "bitpacked", exprs.delta_xor(F.col("payload_words"))).otherwise(wrong)
-    return _ordered(_stamped(packets.withColumns({"payload_words": words, "encoding": F.lit("delta_xor")}), engine))
+    packets = packets.withColumn("_x", exprs.delta_xor(F.col("payload_words")) if engine == "native" else _xor_udf(packets)(F.col("payload_words")))
+    words = F.when(F.col("encoding") == "bitpacked", F.col("_x")).otherwise(wrong)
+    return _ordered(_stamped(packets.withColumns({"payload_words": words, "encoding": F.lit("delta_xor")}).drop("_x"), engine))
+
+
+def _xor_udf(df: DataFrame):
+    ship(df.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def run(words: pa.Array) -> pa.Array:
+        size = np.diff(np.asarray(words.offsets))
+        given = ~np.asarray(words.is_null())
+        flat = np.asarray(words.flatten())
+        before = np.r_[0, flat[:-1]] if len(flat) else flat
+        before[np.r_[0, np.cumsum(size)[:-1]][size > 0] if len(size) else []] = 0
+        ends = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(flat ^ before, pa.int64()), mask=None if given.all() else pa.array(~given))
+
+    return once(run)
 
 
 def _tree_row(tree: huffman.Tree) -> dict:
@@ -107,7 +129,7 @@ def build_codebook(df: DataFrame, p: QuantParams, experimental_huffman: bool = F
         k, _ = kernels.matrix(idx, p.dim, "int64")
         return pa.array([_tree_row(huffman.build_tree(huffman.symbol_counts(row, levels))) for row in k], _tree_type())
 
-    return df.withColumn("tree", run("idx"))
+    return df.withColumn("tree", once(run)("idx"))
 
 
 def _tree_type() -> pa.DataType:
@@ -115,6 +137,11 @@ def _tree_type() -> pa.DataType:
     return pa.struct([("parent", links), ("left", links), ("right", links), ("root", pa.int32())])
 
 
+def tree_literal(tree: huffman.Tree) -> Column:
+    links = ((name, exprs.longs(getattr(tree, name)).alias(name)) for name in ("parent", "left", "right"))
+    return F.struct(*(column for _, column in links), F.lit(tree.root).alias("root")).cast(TREE)
+
+
 def tree_of(row: dict) -> huffman.Tree:
     return huffman.Tree(tuple(row["parent"]), tuple(row["left"]), tuple(row["right"]), row["root"])
 
@@ -153,8 +180,8 @@ def huffman_encode(df: DataFrame, p: QuantParams, tree: str | huffman.Tree | Non
             words[own], written[own] = huffman.encode(k[own], found)
         return pa.StructArray.from_arrays([kernels.lists(words, given, pa.int64()), pa.array(written, mask=~given)], ["words", "written"])
 
-    column = F.lit(None).cast(TREE) if shared else F.col(tree)
-    out = df.withColumn("_h", run(F.col("idx"), column)).withColumn("_tree", column if embed else F.lit(None).cast(TREE)).drop("idx", *([tree] if isinstance(tree, str) else []))
+    column = tree_literal(shared) if shared else F.col(tree)
+    out = df.withColumn("_h", once(run)(F.col("idx"), column)).withColumn("_tree", column if embed else F.lit(None).cast(TREE)).drop("idx", *([tree] if isinstance(tree, str) else []))
     out = _blank(out, "huffman", p).withColumns({"payload_words": F.col("_h.words"), "written_bits": F.col("_h.written"), "valid_bits": F.lit(p.dim * levels).cast("long"), "tree": F.col("_tree")})
     return _ordered(_stamped(out.drop("_h", "_tree"), "arrow"))
 
@@ -176,8 +203,11 @@ def _by_tree(trees: pa.Array, shared: huffman.Tree | None, given: np.ndarray):
 
 def with_status(packets: DataFrame, engine: str = "arrow") -> DataFrame:
     """Adds ``status``: ok, or the first check that the packet fails."""
-    checksum = None if engine == "native" else _crc_udf(packets)(F.col("payload_words"), F.coalesce("written_bits", "valid_bits"))
-    return packets.withColumn("status", exprs.packet_status(checksum))
+    if engine == "native":
+        return packets.withColumn("status", exprs.packet_status())
+    # A function stands in a column of its own: planned inside a CASE, Spark may leave it there unevaluated.
+    stamped = packets.withColumn("_crc", _crc_udf(packets)(F.col("payload_words"), F.coalesce("written_bits", "valid_bits")))
+    return stamped.withColumn("status", exprs.packet_status(F.col("_crc"))).drop("_crc")
 
 
 def decode(packets: DataFrame, p: QuantParams, tree: huffman.Tree | str | None = None, mode: str = "strict", engine: str = "arrow", experimental_huffman: bool = False) -> DataFrame:
@@ -190,14 +220,17 @@ def decode(packets: DataFrame, p: QuantParams, tree: huffman.Tree | str | None =
     df = packets if "status" in packets.columns else with_status(packets, engine)
     matches = (F.col("dim") == p.dim) & (F.col("bit_width") == p.mse_bits)
     df = df.withColumn("status", F.when((F.col("status") == "ok") & ~matches, "params_mismatch").otherwise(F.col("status")))
-    words = F.when(F.col("encoding") == "delta_xor", exprs.undo_delta_xor(F.col("payload_words"))).when(F.col("encoding") == "bitpacked", F.col("payload_words"))
-    words = F.when(F.col("status") == "ok", words)
-    fixed = exprs.unpack(words, p.dim, p.mse_bits) if engine == "native" else _unpack_udf(df, p)(words)
-    idx = F.when(words.isNotNull(), fixed)
-    if experimental_huffman:
-        idx = F.coalesce(idx, _huffman_decode(df, p, tree))
+    xored = F.col("encoding") == "delta_xor"
+    words = F.when((F.col("status") == "ok") & F.col("encoding").isin("bitpacked", "delta_xor"), F.col("payload_words"))
+    if engine == "native":
+        df = df.withColumn("_words", F.when(xored, exprs.undo_delta_xor(words)).otherwise(words))
+        df = df.withColumn("_fixed", F.when(F.col("_words").isNotNull(), exprs.unpack(F.col("_words"), p.dim, p.mse_bits))).drop("_words")
+    else:
+        df = df.withColumn("_fixed", _unpack_udf(df, p)(words, F.coalesce(xored, F.lit(False))))
+    df = df.withColumn("_coded", _huffman_decode(df, p, tree) if experimental_huffman else F.lit(None).cast("array<int>"))
+    idx = F.coalesce("_fixed", "_coded")
     none = "undecodable" if experimental_huffman else "huffman_disabled"
-    df = df.withColumn("idx", idx)
+    df = df.withColumn("idx", idx).drop("_fixed", "_coded")
     df = df.withColumn("status", F.when(F.col("status") != "ok", F.col("status")).when(F.col("idx").isNull(), none).otherwise("ok"))
     if mode == "strict":
         df = df.withColumn("idx", F.coalesce("idx", F.raise_error(F.concat(F.lit("packet refused: "), F.col("status"))).cast("array<int>")))
@@ -208,11 +241,13 @@ def _unpack_udf(df: DataFrame, p: QuantParams):
     ship(df.sparkSession)
 
     @F.arrow_udf("array<int>")
-    def run(words: pa.Array) -> pa.Array:
+    def run(words: pa.Array, xored: pa.Array) -> pa.Array:
         w, given = kernels.matrix(words, exprs.word_count(p.dim * p.mse_bits), "int64")
+        back = xored.to_numpy(zero_copy_only=False)
+        w[back] = kernels.undo_delta_xor(w[back])
         return kernels.lists(kernels.unpack(w, p.dim, p.mse_bits), given, pa.int32())
 
-    return run
+    return once(run)
 
 
 def _huffman_decode(df: DataFrame, p: QuantParams, tree: huffman.Tree | str | None) -> Column:
@@ -234,7 +269,7 @@ def _huffman_decode(df: DataFrame, p: QuantParams, tree: huffman.Tree | str | No
 
     ok = (F.col("status") == "ok") & (F.col("encoding") == "huffman") & (F.col("word_count") == exprs.word_count(p.dim * levels))
     trees = F.col(tree) if isinstance(tree, str) else F.col("tree")
-    return run(F.when(ok, F.col("payload_words")), F.coalesce("written_bits", "valid_bits"), trees)
+    return once(run)(F.when(ok, F.col("payload_words")), F.coalesce("written_bits", "valid_bits"), trees)
 
 
 def pipeline(df: DataFrame, p: QuantParams, emit_qjl: bool = True, entropy: bool = False, column: str = "embedding", engine: str = "native") -> DataFrame:

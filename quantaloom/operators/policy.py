@@ -64,7 +64,7 @@ def _fingerprint_udf(df: DataFrame, p: QuantParams):
         rows = zip(trees.to_pylist(), generations.to_pylist(), policies.to_pylist(), strict=True)
         return pa.array([huffman.fingerprint(codecs.tree_of(t), p.mse_bits, g, i) for t, g, i in rows], pa.string())
 
-    return run
+    return codecs.once(run)
 
 
 def registry(df: DataFrame, p: QuantParams, cadence: int, stream: str = "stream_key", order: str = "seq") -> DataFrame:
@@ -116,7 +116,7 @@ def auto_cadence(df: DataFrame, p: QuantParams) -> DataFrame:
             out.append(int((counts * size).sum()))
         return pa.array(out, pa.int64(), mask=None if given.all() else ~given)
 
-    df = df.withColumns({"fixed_bytes": exprs.bits_to_bytes(F.lit(p.dim * p.mse_bits)), "huffman_bytes": exprs.bits_to_bytes(written("idx"))})
+    df = df.withColumns({"fixed_bytes": exprs.bits_to_bytes(F.lit(p.dim * p.mse_bits)), "huffman_bytes": exprs.bits_to_bytes(codecs.once(written)("idx"))})
     df = df.withColumn("saved", F.greatest(F.lit(0).cast("long"), F.col("fixed_bytes") - F.col("huffman_bytes")))
     pays = F.ceil(exprs.codebook_bytes(F.lit(p.mse_bits)) / F.col("saved"))
     cadence = F.when(F.col("saved") == 0, MIN_CADENCE).otherwise(F.greatest(F.lit(MIN_CADENCE), F.least(F.lit(MAX_CADENCE), pays)))

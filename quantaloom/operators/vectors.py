@@ -47,7 +47,7 @@ def quantize_mse(df: DataFrame, p: QuantParams, column: str = "embedding", engin
 def dequantize_mse(df: DataFrame, p: QuantParams, out: str = "xhat", rotated: bool = False) -> DataFrame:
     """Adds the centroids that ``idx`` names, in the vector's own coordinates unless ``rotated``."""
     values = exprs.dequantize(F.col("idx"), p)
-    return df.withColumn(out, values if rotated else exprs.unrotate(values, p))
+    return df.withColumn(out, values) if rotated else df.withColumn("_values", values).withColumn(out, exprs.unrotate(F.col("_values"), p)).drop("_values")
 
 
 def coordinate(df: DataFrame, p: QuantParams, c: int, out: str = "value") -> DataFrame:
