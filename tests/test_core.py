@@ -394,3 +394,28 @@ def test_registry_names():
 
     names = entry.queries()
     assert len(names) >= 45 and set(entry.oracle_sql()) <= set(names)
+
+
+def test_invalidation_keeps_the_generation(spark, tmp_path):
+    from quantaloom.streaming.policy import reuse_stream
+
+    p = QuantParams(16, 4, 5)
+    df = stream_of(spark, p, 6, 1).withColumn("control", F.when(F.col("seq") == 3, "invalidate"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = reuse_stream(source, p, 100, True).writeStream.format("memory").queryName("dropped").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["seq"]: (r["generation"], r["tokens"]) for r in spark.table("dropped").collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 2), 4: (2, 0), 5: (2, 1)}
+
+
+def test_pages_are_taken_once(spark, tmp_path):
+    from quantaloom.streaming.policy import paged
+
+    rows = [(1, 0, 7, v, f"2026-01-01 00:00:0{i}") for i, v in enumerate([1, 1, 2, 2, 1])]
+    df = spark.createDataFrame(rows, "sequence_id long, layer_id long, page_id long, page_version long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = paged(source).writeStream.format("memory").queryName("pages").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["page_version"] for r in spark.table("pages").collect()) == [1, 2]
