@@ -38,6 +38,10 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    def drop(self) -> None:
+        """Forgets all digests. What ``add`` returned stays good: it reads tables of its own."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def _append(self, rows: DataFrame) -> None:
         out = rows.select("digest", "keep_id", "keep_uid", "batch").repartition(self.buckets, "digest")
         out.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
@@ -66,6 +70,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     stay = cut(index.add(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")))
+    index.drop()
     digest = unused(docs, "digest")
     keyed = docs.withColumn(digest, digest_of(F.col("text")))
 
@@ -84,7 +89,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = index.add(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index.drop()  # a query keeps no index; a pipeline that adds batches does
+    return found
 
 
 QUERIES = {"op7_exact_dedup": op7_exact_dedup}
