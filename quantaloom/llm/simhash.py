@@ -133,8 +133,13 @@ def _block_key(n: int, ranges: list[tuple[int, int]]) -> Column:
 
 def links(nodes: DataFrame, keys: list[tuple[int, list[tuple[int, int]]]], distance: int) -> DataFrame:
     """(a, b): links between fingerprints of ``nodes`` (distinct ``fp``, a written table) at ``distance`` bits or fewer that
-    share a key; of each cell a spanning forest. Blocks are counted first, so that each row is shuffled once, to its
-    block or, from a crowded one, to the cells of its chunk."""
+    share a key; of each cell a spanning forest."""
+    return _in_cells(nodes, keys, _compare(distance), "a binary, b binary")
+
+
+def _in_cells(nodes: DataFrame, keys: list[tuple[int, list[tuple[int, int]]]], run: Callable, schema: str) -> DataFrame:
+    """``run`` over the cells of ``nodes``. Blocks are counted first, so that each row is shuffled once, to its block or, from
+    a crowded one, to the cells of its chunk."""
     keyed = nodes.select("fp", F.explode(F.array(*(_block_key(*k) for k in keys))).alias("key")).select("fp", F.col("key.n").alias("n"), F.col("key.v").alias("v"))
     crowded = cut(keyed.groupBy("n", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK))
     none = F.lit(0).cast("int")
@@ -148,9 +153,9 @@ def links(nodes: DataFrame, keys: list[tuple[int, list[tuple[int, int]]]], dista
         dealt = keyed.join(crowded, ["n", "v"]).withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", other)
         dealt = dealt.select("fp", "n", "v", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk")
         dealt = dealt.repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
-        dealt = mapped(dealt, _compare(distance), "a binary, b binary")
+        dealt = mapped(dealt, run, schema)
     calm = calm.select("fp", "n", "v", none.alias("x"), none.alias("y"), none.alias("chunk"))
-    calm = mapped(calm.repartition("n", "v").sortWithinPartitions("n", "v"), _compare(distance), "a binary, b binary")
+    calm = mapped(calm.repartition("n", "v").sortWithinPartitions("n", "v"), run, schema)
     return calm if dealt is None else calm.unionByName(dealt)
 
 
@@ -184,6 +189,108 @@ def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(where each cell starts, cell of each row, rows) with no cell in two parts; ``batches`` are sorted by cell."""
+    rest: pa.RecordBatch | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        last = batch is None
+        if rest is not None:
+            batch = rest if last else pa.concat_batches([rest, batch])
+        if batch is None:
+            return
+        cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "v", "x", "y")], 1)
+        starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(1)])
+        end = batch.num_rows if last else int(starts[-1])
+        rest = None if last else batch.slice(end)
+        if end:
+            yield starts if last else starts[:-1], cells[:end], batch.slice(0, end)
+
+
+def _first_shared(differ: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The first of ``tables`` blocks of ``bits`` bits in which each pair, given as its unequal bits, agrees."""
+    loose = np.unpackbits(differ.astype(">u8").view(np.uint8), axis=1, count=bits * tables)
+    return loose.reshape(len(differ), tables, bits).any(2).argmin(1)
+
+
+def _candidates(starts: np.ndarray, cells: np.ndarray, prints: np.ndarray, chunk: np.ndarray, distance: int, bits: int, tables: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs in a cell at ``distance`` bits or fewer, each pair only in the first block that it shares:
+    those of small cells together, those of another row by row."""
+
+    def own(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = _first_shared(prints[a] ^ prints[b], bits, tables) == cells[a, 0]
+        return a[first], b[first]
+
+    sizes = np.diff(np.r_[starts, len(cells)])
+    cell = np.repeat(np.arange(len(starts)), sizes)
+    calm = (sizes <= SMALL) & (cells[starts, 2] == cells[starts, 3])
+    for shift in range(1, min(SMALL, int(sizes[calm].max(initial=1)))):
+        i = np.flatnonzero((cell[shift:] == cell[:-shift]) & calm[cell[shift:]])
+        near = i[_near(prints[i], prints[i + shift], distance)] if len(i) else i
+        if len(near):
+            yield own(near, near + shift)
+    for at in np.flatnonzero(~calm):
+        rows = np.arange(starts[at], starts[at] + sizes[at])
+        x, y = cells[starts[at], 2:]
+        for i in rows if x == y else rows[chunk[rows] == x]:
+            others = rows[rows > i] if x == y else rows[chunk[rows] != x]
+            near = others[_near(np.broadcast_to(prints[i], (len(others), prints.shape[1])), prints[others], distance)]
+            if len(near):
+                yield own(np.full(len(near), i), near)
+
+
+def _promising(distance: int, bits: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows that have a candidate in their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, cells, batch in _whole_cells(batches):
+            marked = np.zeros(batch.num_rows, bool)
+            for a, b in _candidates(starts, cells, _numbers(batch.column("fp")), batch.column("chunk").to_numpy(), distance, bits, tables):
+                marked[a] = marked[b] = True
+            if marked.any():
+                yield batch.filter(pa.array(marked))
+
+    return run
+
+
+def _exact(distance: int, bits: int, tables: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each cell a spanning forest of the candidates whose shingle sets have a Jaccard ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, cells, batch in _whole_cells(batches):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
+            root = list(range(len(sets)))
+
+            def top(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            out_a, out_b = [], []
+            for a, b in _candidates(starts, cells, _numbers(batch.column("fp")), batch.column("chunk").to_numpy(), distance, bits, tables):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    if top(i) != top(j) and alike(sets[i], sets[j], similarity):
+                        root[top(j)] = top(i)
+                        out_a.append(i)
+                        out_b.append(j)
+            if out_a:
+                yield pa.record_batch([batch.column("fp").take(pa.array(out_a)), batch.column("fp").take(pa.array(out_b))], names=["a", "b"])
+
+    return run
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have a Jaccard ``similarity`` or more."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) + 1e-9 < similarity * len(large):
+        return False
+    if not len(large):
+        return True
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return common + 1e-9 >= similarity * (len(a) + len(b) - common)
+
+
 def _numbers(column: pa.Array) -> np.ndarray:
     """Equally long binary values as rows of 64-bit numbers."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -270,18 +377,39 @@ def near_classes(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFram
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 0.7) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 3.0) -> DataFrame:
     """(doc_id, component_id): classes of texts whose sets of word shingles have a Jaccard ``similarity`` or more.
 
-    Wide fingerprints estimate the similarity; a pair links if its unequal bits are no more than expected at
-    ``similarity`` plus ``slack`` standard deviations.
+    Wide fingerprints propose pairs: those with unequal bits no more than expected at ``similarity`` plus ``slack``
+    standard deviations. The sets themselves decide; only texts that have a candidate are read again for theirs.
     """
     differ = differing_share(similarity)
     keys = sampled_keys(differ, recall, docs.count())
-    lanes = max(1, -(-(keys[-1][1][0][0] + keys[-1][1][0][1]) // 64))
+    tables, bits = len(keys), keys[0][1][0][1]
+    lanes = -(-tables * bits // 64)
     distance = math.floor(64 * lanes * differ + slack * math.sqrt(64 * lanes * differ * (1 - differ)))
-    prints = cut(fingerprints(docs, words, lanes, distinct=True))
-    return classes(prints, lambda nodes, n: links(nodes, keys, distance)).select("doc_id", "component_id")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tid"))  # of equal ones the texts are equal
+    prints = cut(fingerprints(docs.select(key.alias("doc_id"), "text"), words, lanes, distinct=True))
+
+    def link(nodes: DataFrame, _: int) -> DataFrame:
+        promising = cut(_in_cells(nodes, keys, _promising(distance, bits, tables), "fp binary, n smallint, v long, x int, y int, chunk int"))
+        owners = nodes.join(promising.select("fp").distinct(), "fp").select("least.tid").distinct()
+        texts = docs.join(owners, F.xxhash64(docs["text"]) == owners["tid"], "left_semi")
+        sets = cut(mapped(texts.select("text"), _sets(words, lanes), "fp binary, shingles binary").dropDuplicates(["fp"]))
+        met = promising.join(sets, "fp").repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
+        return mapped(met, _exact(distance, bits, tables, similarity), "a binary, b binary")
+
+    return classes(prints, link).select("doc_id.doc_id", F.col("component_id.doc_id").alias("component_id"))
+
+
+def _sets(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(text, words)) for text in texts_of(batch)]
+            prints = [fingerprint(x, lanes).astype(">u8").tobytes() for x in sets]
+            yield pa.record_batch([pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["fp", "shingles"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -89,6 +89,19 @@ def test_similar_texts_lose_their_copies(docs_of):
     assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == list(range(30))
 
 
+def test_the_exact_similarity_decides(docs_of):
+    """Pairs just below 0.8 stay, which an estimate of the similarity can't tell from those just above."""
+    g = random.Random(10)
+    word = lambda: "".join(g.choices("abcdefghijklm", k=6))
+    originals = [[word() for _ in range(300)] for _ in range(60)]
+    copies = [t[:100] + [word() for _ in range(w)] + t[100 + w :] for t, w in zip(originals, [34] * 30 + [25] * 30, strict=True)]
+    sets = lambda t: np.unique(simhash.shingle_hashes(" ".join(t), 5))
+    shares = [len(np.intersect1d(sets(a), sets(b))) / len(np.union1d(sets(a), sets(b))) for a, b in zip(originals, copies, strict=True)]
+    assert all(0.77 < x < 0.78 for x in shares[:30]) and all(0.82 < x < 0.83 for x in shares[30:])
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(*(" ".join(t) for t in originals + copies))).collect()}
+    assert set(range(90)) <= kept and len(kept) <= 91
+
+
 def test_simhash_odd_tables(odd, empty):
     got = simhash.near_classes(odd).collect()
     assert len(got) == 11 and {r["component_id"] for r in got if r["fingerprint"] == "0" * 16} == {1}
