@@ -31,6 +31,8 @@ from quantaloom.llm._words import Words, grouped, mix, words_of
 #: Window in words, steps of its walk, steps sampled: by the least number of words an item must have, largest first.
 CLASSES = ((8, 16, 5), (4, 6, 3), (1, 1, 1))
 REPETITIONS = 4
+#: Stands for the repetition in the index of plain pieces.
+PIECES = -1
 #: Share of an item's words that edits may come to.
 MAX_EDITS = 0.2
 #: Items that a worker holds at once; more are searched in blocks of so many.
@@ -64,14 +66,32 @@ def embed(symbols: np.ndarray, starts: np.ndarray, size: int, repetition: int) -
 
 @dataclass
 class Index:
-    """Items and, by class and repetition, the sorted keys of their windows with item and first word of each."""
+    """Items and, by class and repetition, the sorted keys of their windows with item and first word of each.
+
+    Pieces of n words are under (n, ``PIECES``)."""
 
     ids: list
     words: list[np.ndarray]
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def build_index(ids: list, texts: list[str]) -> Index:
+def runs(symbols: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of the ``size`` words from ``starts``. Beyond the end all is 0."""
+    padded, key = np.r_[symbols, np.zeros(size, np.uint64)], np.zeros(len(starts), np.uint64)
+    for step in range(size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + padded[starts + step]
+    return mix(key)
+
+
+def _sorted(found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    found.sort()
+    key = np.array([f[0] for f in found], np.uint64)
+    rare = np.zeros(1 << 18, bool)
+    rare[(key >> np.uint64(46)).astype(np.int64)] = True
+    return key, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), rare
+
+
+def build_index(ids: list, texts: list[str], max_edits: float = MAX_EDITS) -> Index:
     words = words_of(texts)
     bounds = words.bounds()
     items = [words.hash[a:b] for a, b in itertools.pairwise(bounds.tolist())]
@@ -85,20 +105,24 @@ def build_index(ids: list, texts: list[str]) -> Index:
                 key, last = embed(items[i], np.arange(len(items[i])), size, repetition)
                 # A walk that has left the item says nothing of what follows it in a text.
                 found += [(int(k), i, at) for at, (k, end) in enumerate(zip(key, last, strict=True)) if end < len(items[i])]
-            found.sort()
-            key = np.array([f[0] for f in found], np.uint64)
-            rare = np.zeros(1 << 18, bool)
-            rare[(key >> np.uint64(46)).astype(np.int64)] = True
-            keys[size, repetition] = key, np.array([f[1] for f in found]), np.array([f[2] for f in found]), rare
-    return Index(ids, items, keys)
+            keys[size, repetition] = _sorted(found)
+    pieces: dict[int, list[tuple[int, int, int]]] = {}
+    for i, item in enumerate(items):
+        if len(item):
+            n = int(max_edits * len(item)) + 1
+            size = max(1, len(item) // n)
+            starts = np.arange(min(n, len(item))) * size
+            pieces.setdefault(size, []).extend((k, i, at) for k, at in zip(runs(item, starts, size).tolist(), starts.tolist(), strict=True))
+    return Index(ids, items, keys | {(size, PIECES): _sorted(found) for size, found in pieces.items()})
 
 
 def candidates(index: Index, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, place at which the item would begin), distinct, for all walks that have a sample in common with an item's."""
+    """(text, item, place at which the item would begin), distinct, for all walks that have a sample in common with an item's, and all
+    equal pieces."""
     out: list[np.ndarray] = []
     starts = np.arange(len(words.hash))
     for (size, repetition), (keys, items, offsets, rare) in index.keys.items():
-        found, _ = embed(words.hash, starts, size, repetition)
+        found = runs(words.hash, starts, size) if repetition == PIECES else embed(words.hash, starts, size, repetition)[0]
         at = np.flatnonzero(rare[(found >> np.uint64(46)).astype(np.int64)])
         low, high = np.searchsorted(keys, found[at]), np.searchsorted(keys, found[at], "right")
         many = high - low
@@ -182,11 +206,11 @@ def matches(index: Index, words: Words, max_edits: float = MAX_EDITS) -> dict[in
     return out
 
 
-def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
+def index_blocks(benchmark: DataFrame, max_edits: float = MAX_EDITS) -> Iterator[Index]:
     """Indexes of the items, block by block, so that what the driver and workers hold is bounded."""
     rows = benchmark.select("item_id", "text").toLocalIterator()
     while some := list(itertools.islice(rows, ITEMS_AT_ONCE)):
-        yield build_index([r["item_id"] for r in some], [r["text"] or "" for r in some])
+        yield build_index([r["item_id"] for r in some], [r["text"] or "" for r in some], max_edits)
 
 
 def _found(index: Index, batch: pa.RecordBatch, max_edits: float) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
@@ -203,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
     for name in ("edits", "first_word", "n_words", "item_words", "places"):
         schema = schema.add(name, "long")
     session, out = docs.sparkSession, None
-    for index in index_blocks(benchmark):
+    for index in index_blocks(benchmark, max_edits):
         shared = session.sparkContext.broadcast(index)  # a block of items, not the table
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -226,7 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item of the benchmark is found."""
-    for index in index_blocks(benchmark):
+    for index in index_blocks(benchmark, max_edits):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -177,6 +177,23 @@ def test_leaks_are_found_and_clean_texts_are_not(spark, docs_of):
     assert sorted(str(r["item_id"]) for r in decontaminate.empty_items(benchmark).collect()) == ["42", "None"]
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 25, 40])
+def test_no_item_within_the_edits_is_missed(n):
+    g = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    most = int(decontaminate.MAX_EDITS * n)
+    items = [g.choices(vocabulary, k=n) for _ in range(100)]
+    texts = []
+    for item in items:
+        spread = list(item)
+        for k in range(most):
+            spread[(2 * k + 1) * n // (2 * most)] = "other"
+        texts += [" ".join(g.choices(vocabulary, k=30) + t + g.choices(vocabulary, k=30)) for t in (item, spread, edited(g, item, most, vocabulary))]
+    index = decontaminate.build_index(list(range(100)), [" ".join(x) for x in items])
+    found = decontaminate.matches(index, words_of(texts))
+    assert [d for d in range(300) if d // 3 not in {m[0] for m in found.get(d, [])}] == []
+
+
 def test_blocks_of_items_find_the_same(spark, docs_of, monkeypatch):
     g = random.Random(7)
     items = [" ".join(f"w{g.randint(0, 99)}" for _ in range(20)) for _ in range(9)]
