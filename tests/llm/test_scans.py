@@ -116,6 +116,29 @@ def test_named_literals(text, values):
     assert [text[a:b] for _, a, b in secret_scan.named_spans(text)] == values
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("deploy --auth-token Zx81kkq99AbCd77pQ", ["Zx81kkq99AbCd77pQ"]),
+        ("mysql --password Zx81kkq99Ab", ["Zx81kkq99Ab"]),
+        ("pass_word = 'Zx81kkq99Ab'", ["Zx81kkq99Ab"]),
+        ("api = 'Zx81-kkq99AbCd77pQ'", ["Zx81-kkq99AbCd77pQ"]),
+    ],
+)
+def test_the_rest_of_a_text_does_not_matter(text, values):
+    for whole in (text, text + "\nkey = 1"):
+        assert [whole[a:b] for _, a, b in secret_scan.named_spans(whole)] == values
+
+
+def test_no_hint_means_no_pair(monkeypatch):
+    g = random.Random(8)
+    parts = [*secret_scan.SENSITIVE, "pass", "word", "Api", "Key", "to", "ken", "--", "-", "_", ".", " ", " ", "\n", "=", ":", "=>", '"', "'", "[", "]", "é", "Zx81kkq99AbCd77pQ", "hunter2!Aa", "colour"]
+    texts = ["".join(g.choices(parts, k=g.randint(1, 9))) for _ in range(20_000)]
+    hinted = [secret_scan.named_spans(t) for t in texts]
+    monkeypatch.setattr(secret_scan, "may_name", lambda text: True)
+    assert hinted == [secret_scan.named_spans(t) for t in texts] and sum(map(bool, hinted)) > 100
+
+
 def test_secret_odd_tables(odd, empty):
     got = secret_scan.scan_secrets(odd).collect()
     assert len(got) == 11 and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
