@@ -108,6 +108,14 @@ def test_secrets_against_brute_force(docs_of):
         ("mysql --password 'Zx81kkq99'", ["Zx81kkq99"]),
         ("private_key => 'AbCd1234EfGh'", ["AbCd1234EfGh"]),
         ("the password: is not here", []),
+        ('password: str = "Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
+        ('const apiKey: string = "Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
+        ('let db_passphrase: &str = "Zx81kkq99Ab";', ["Zx81kkq99Ab"]),
+        ("static TOKEN: &'static str = \"Zx81kkq99Ab\";", ["Zx81kkq99Ab"]),
+        ('token: Optional[str]="Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
+        ('os.environ["API_TOKEN"] = "Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
+        ("config['a']['db_password'] = 'Zx81kkq99Ab'", ["Zx81kkq99Ab"]),
+        ("db_password: Zx81kkq99Ab=\nuser: bob", ["Zx81kkq99Ab="]),
         ("colour = 'Zx81kkq99AbC'", []),
         ('token = "<your token>"', []),
     ],
