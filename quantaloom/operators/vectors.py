@@ -7,6 +7,8 @@ strict mode; in audit mode it gets null results and its ``vector_status`` says w
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from quantaloom.functions import exprs, kernels
 from quantaloom.functions.params import QuantParams
 from quantaloom.sources.session import ship
 
+#: Query vectors of a block; more are searched in further blocks. A batch is scored against so many at once.
+QUERIES_AT_ONCE, SCORED_AT_ONCE = 10_000, 1_000
 ENGINES, MODES = ("native", "arrow"), ("strict", "audit")
 
 
@@ -133,15 +137,22 @@ def validate_outputs(df: DataFrame, p: QuantParams, tolerance: float = 1e-6, col
 
 
 def inner_products(queries: DataFrame, packets: DataFrame, p: QuantParams, k: int = 10) -> DataFrame:
-    """Approximate top-k: (query_id, vec_id, score) by inner product of few queries with reconstructed packets.
+    """Approximate top-k: (query_id, vec_id, score) by inner product of queries with reconstructed packets.
 
-    Queries (query_id, query) are meant to be few; their size is checked and beyond it the caller must split them.
+    Queries (query_id, query) are searched in blocks of ``QUERIES_AT_ONCE``, each over all packets.
     """
-    rows = queries.select("query_id", "query").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 queries: search them in blocks")
+    rows, out = queries.select("query_id", "query").toLocalIterator(), None
+    while (some := list(itertools.islice(rows, QUERIES_AT_ONCE))) or out is None:
+        part = _block_products([r["query_id"] for r in some], [list(r["query"]) for r in some], packets, p, k)
+        out = part if out is None else out.unionByName(part)
+    # Of each batch k rows a query are left, and the limit by rank is taken in each partition before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _block_products(ids: list, vectors: list[list[float]], packets: DataFrame, p: QuantParams, k: int) -> DataFrame:
     ship(packets.sparkSession)
-    shared = packets.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [list(r["query"]) for r in rows]))
+    shared = packets.sparkSession.sparkContext.broadcast((ids, vectors))  # a block of queries, not the table
     schema = "query_id long, vec_id long, score double"
 
     def run(batches):
@@ -153,12 +164,11 @@ def inner_products(queries: DataFrame, packets: DataFrame, p: QuantParams, k: in
         q = np.array(vectors)
         for batch in batches:
             x, _ = kernels.matrix(batch.column("xhat"), p.dim)
-            scores = x @ q.T
-            top = np.argsort(-scores, axis=0, kind="stable")[:k]
             vec = batch.column("vec_id").to_numpy()
-            yield pa.record_batch([pa.array(np.tile(ids, len(top))), pa.array(vec[top].ravel()), pa.array(np.take_along_axis(scores, top, 0).ravel())], names=["query_id", "vec_id", "score"])
+            for at in range(0, len(ids), SCORED_AT_ONCE):
+                scores = x @ q[at : at + SCORED_AT_ONCE].T
+                top = np.argsort(-scores, axis=0, kind="stable")[:k]
+                columns = np.tile(ids[at : at + SCORED_AT_ONCE], len(top)), vec[top].ravel(), np.take_along_axis(scores, top, 0).ravel()
+                yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = dequantize_prod(packets, p).select("vec_id", "xhat").mapInArrow(run, schema)
-    # Of each batch k rows a query are left, and the limit by rank is taken in each partition before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dequantize_prod(packets, p).select("vec_id", "xhat").mapInArrow(run, schema)

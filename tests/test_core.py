@@ -389,6 +389,24 @@ def test_top_k(spark):
     assert got == {q: np.argsort(-(approx @ x[q]), kind="stable")[:4].tolist() for q in range(3)}
 
 
+def test_blocks_of_queries_find_the_same(spark, monkeypatch):
+    p = QuantParams(16, 6, 3)
+    df, _ = unit(spark, 60, 16, 5)
+    packets = vectors.quantize_prod(df, p)
+    queries = df.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, vectors.inner_products(queries, packets, p, 4).collect()))
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 3)
+    assert sorted(map(tuple, vectors.inner_products(queries, packets, p, 4).collect())) == whole and len(whole) == 28
+    assert vectors.inner_products(queries.limit(0), packets, p, 4).count() == 0
+
+
+def test_more_queries_than_a_block(spark):
+    p = QuantParams(16, 6, 3)
+    df, _ = unit(spark, 20, 16, 5)
+    queries = spark.range(10_001).selectExpr("id AS query_id").crossJoin(df.where("vec_id = 0").select(F.col("embedding").alias("query")))
+    assert vectors.inner_products(queries, vectors.quantize_prod(df, p), p, 1).count() == 10_001
+
+
 def test_registry_names():
     import __spark_entry__ as entry
 
