@@ -378,7 +378,13 @@ def near_classes(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFram
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 3.0) -> DataFrame:
-    """(doc_id, component_id): classes of texts whose sets of word shingles have a Jaccard ``similarity`` or more.
+    """(doc_id, component_id): classes of texts, each by its smallest doc_id, as of ``_row_classes``."""
+    found = _row_classes(docs, words, similarity, recall, slack)
+    return found.select("doc_id.doc_id", F.col("component_id.doc_id").alias("component_id"))
+
+
+def _row_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 3.0) -> DataFrame:
+    """(doc_id, component_id), structs of doc_id and the text's digest tid: classes of texts whose sets of word shingles have a Jaccard ``similarity`` or more.
 
     Wide fingerprints propose pairs: those with unequal bits no more than expected at ``similarity`` plus ``slack``
     standard deviations. The sets themselves decide; only texts that have a candidate are read again for theirs.
@@ -399,7 +405,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, re
         met = promising.join(sets, "fp").repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
         return mapped(met, _exact(distance, bits, tables, similarity), "a binary, b binary")
 
-    return classes(prints, link).select("doc_id.doc_id", F.col("component_id.doc_id").alias("component_id"))
+    return classes(prints, link).select("doc_id", "component_id")
 
 
 def _sets(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -413,12 +419,14 @@ def _sets(words: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, less the near copies: of each class the row with the smallest doc_id stays.
+    """The rows of ``docs``, all columns, less the near copies: of each class the row with the smallest doc_id stays, of
+    different texts under that doc_id one.
 
-    Rows with a null doc_id stay: nothing tells them apart.
+    Rows with a null doc_id stay, as do rows equal in doc_id and text to one that stays: nothing tells them apart.
     """
-    found = cut(similar_classes(docs.where("doc_id IS NOT NULL"), **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    found = _row_classes(docs.where("doc_id IS NOT NULL"), **how).where("doc_id <> component_id")
+    found = cut(found.select(F.col("doc_id.doc_id").alias("_gone"), F.col("doc_id.tid").alias("_tid")).distinct())
+    return docs.join(found, (docs["doc_id"] == found["_gone"]) & (F.xxhash64(docs["text"]) == found["_tid"]), "left_anti")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

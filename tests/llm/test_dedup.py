@@ -102,6 +102,15 @@ def test_the_exact_similarity_decides(docs_of):
     assert set(range(90)) <= kept and len(kept) <= 91
 
 
+def test_repeated_ids_lose_only_their_copies(docs_of):
+    g = random.Random(11)
+    text = lambda: " ".join("".join(g.choices("abcdefghijklm", k=6)) for _ in range(200))
+    first, clean, other = text(), text(), text()
+    rows = [(1, first), (2, first + " end"), (2, clean), (3, other), (3, other + " end")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs_of(rows=[(i, t, "", "", 1) for i, t in rows])).collect()]
+    assert (1, first) in kept and (2, clean) in kept and sorted(i for i, _ in kept) == [1, 2, 3]
+
+
 def test_simhash_odd_tables(odd, empty):
     got = simhash.near_classes(odd).collect()
     assert len(got) == 11 and {r["component_id"] for r in got if r["fingerprint"] == "0" * 16} == {1}
