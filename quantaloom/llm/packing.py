@@ -13,9 +13,9 @@ An empty table gives no rows. Columns other than doc_id and text are not looked
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import itertools
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -28,20 +28,52 @@ from pyspark.sql import functions as F
 
 from quantaloom.llm._common import cut, mapped, numbered, slices, table, texts_of
 
-#: Words whose ids a worker keeps, and the longest word kept.
-MEMO_WORDS, MEMO_CHARS = 400_000, 40
-
-
-#: Letters of Latin-1, whose case and composition need no look at their neighbours.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Characters of texts that are split and looked up here: Latin-1 without the end mark, and dashes and quotes. None of them
+#: is changed by composition, and their case depends on no neighbour. Other texts are left to the library.
+_OTHER = re.compile("[^\x01-\xff\u2010-\u2027]").search
+_LETTER, _DIGIT, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: The form of vocabulary that is taken apart here; and its pattern of words, in these characters, lower-cased.
+_FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False},
+}
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+").findall
+_BETWEEN_SPACES = re.compile("[^ \t\n\r]+").findall
+#: Stands after a word's last byte.
+_END = "\0"
+
+
+def _end_marked(file: str):
+    """The vocabulary as byte pairs in which a word's end is a byte of its own; None if the file is of another form.
+
+    A last byte with its mark is one symbol in the file; here the two are a pair of a rank before all other merges.
+    """
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        form = json.load(f)
+    model, split = form["model"], (form["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    same = form["normalizer"] == _FORM["normalizer"] and all(model.get(k) == v for k, v in _FORM["model"].items()) and form["post_processor"] is None
+    same = same and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": _FORM["split"]} and split[0]["invert"] and split[1]["add_prefix_space"] is False
+    if not same:
+        return None
+    # The file writes a byte as a printable character: itself if it is one, else the next from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printable)}
+    vocabulary = {k: v for k, v in model["vocab"].items() if k not in {x["content"] for x in form["added_tokens"]}}
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if sorted(set(merged)) != merged or len(merged) + 512 != len(vocabulary):
+        return None  # ids are not in the order of merges
+    ranks = {bytes(byte[c] for c in k.removesuffix("</w>")) + (_END.encode() if k.endswith("</w>") else b""): v for k, v in vocabulary.items()}
+    return tiktoken.Encoding(file, pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
 
 
 class WordEncoder:
-    """Ids of whole texts, as the tokenizers library gives them, from a bounded memo of words.
+    """Ids of whole texts, as the tokenizers library gives them.
 
-    The vocabulary's pre-tokenizer never joins text over white space, nor a letter with a punctuation mark after it, so the
-    ids of a text are those of its words in a row. Ids are kept as little-endian bytes. New words of letters only are
-    given to the library many in a line, and told apart by its mark at the end of a word.
+    Words are split and marked here and merged by a byte-pair coder, several times as fast as the library; words with
+    characters that ``_OTHER`` finds, and texts with what may be a special token, go to the library itself.
     """
 
     def __init__(self, file: str) -> None:
@@ -50,47 +82,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.words = re.compile(rf"[{_LETTERS}]++(?=[!-&(-/:-@\[-`{{-~])|[^ \t\n\r]+").findall
-        self.whole = re.compile(r"[^ \t\n\r]+").findall
-        self.plain = re.compile(rf"[{_LETTERS}]+").fullmatch
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        for piece, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[number] = piece.endswith("</w>")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of unsigned 32-bit numbers."""
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        split = [self.split(t) for t in texts]
-        new = {w for words in split for w in words if w not in memo}
-        plain = [w for w in new if self.plain(w)]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(last) == len(some):
-                raw, start = ids.tobytes(), 0
-                for word, end in zip(some, last, strict=True):
-                    memo[word] = raw[4 * start : 4 * end]
-                    start = end
-        for some in itertools.batched((w for w in new if w not in memo), 5000):
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
-                memo[word] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > MEMO_CHARS:
-                del memo[word]
-        return out
-
-    def split(self, text: str) -> list[str]:
-        if "<|" in text:  # may be a special token, which is looked for in the text as it is
-            return self.whole(text)
-        with contextlib.suppress(UnicodeEncodeError):
-            text.encode("latin-1")
-            text = text.lower()
-        return self.words(text)
+        self.merger = _end_marked(file)
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if self.merger is None or "<|" in text:
+            return self._from_library(text)
+        if not _OTHER(text):
+            return self._merged(text)
+        # Nothing is joined over white space: only the runs of words with other characters are the library's.
+        runs = itertools.groupby(_BETWEEN_SPACES(text), key=lambda word: bool(_OTHER(word)))
+        return np.concatenate([np.empty(0, "<u4"), *((self._from_library if other else self._merged)(" ".join(run)) for other, run in runs)])
+
+    def _from_library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _merged(self, text: str) -> np.ndarray:
+        marked = _END.join([*_WORDS(text.lower()), ""])
+        return self.merger.encode_to_numpy(marked, disallowed_special=()).astype("<u4", copy=False)
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,8 +122,8 @@ def pieces_of(docs: DataFrame, capacity: int, vocabulary: str | None = None, end
         words = encoder(vocabulary or default_vocabulary())
         for batch in slices(batches):
             rows, columns = [], [[], [], [], []]
-            for row, ids in enumerate(words.encode(texts_of(batch))):
-                ids += end
+            for row, text in enumerate(texts_of(batch)):
+                ids = words.ids(text).tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(row)

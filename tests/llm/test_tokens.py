@@ -36,9 +36,31 @@ def test_token_counts_odd_tables(odd, empty):
 
 def test_ids_are_the_library_s():
     library = Tokenizer.from_file(packing.default_vocabulary())
-    texts = random_texts(3000, 2)
-    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert packing.WordEncoder(packing.default_vocabulary()).encode(texts) == want
+    own = packing.WordEncoder(packing.default_vocabulary())
+    g = random.Random(12)
+    latin = [chr(c) for c in range(1, 256)] + list("\u2010\u2013\u2019\u201c\u2026\u2027'") + ["'s", "'LL", " don't"]
+    texts = random_texts(3000, 2) + ["".join(g.choices(latin, k=g.randint(1, 30))) for _ in range(3000)]
+    texts += ["".join(g.choices("abcdeiorstnÉéßü", k=g.randint(1, 25))) for _ in range(3000)] + ["x" * 5000, "ab" * 60_000, "é\u0301'", ""]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    for text, encoded in zip(texts, want, strict=True):
+        assert own.ids(text).tobytes() == np.array(encoded.ids, "<u4").tobytes(), text
+
+
+def test_each_piece_of_the_vocabulary_as_the_library_reads_it():
+    library = Tokenizer.from_file(packing.default_vocabulary())
+    own = packing.WordEncoder(packing.default_vocabulary())
+    assert own.merger is not None
+    pieces = [p.removesuffix("</w>") for p in library.get_vocab(with_added_tokens=False) if p.isascii()]
+    for some in (pieces[i : i + 500] for i in range(0, len(pieces), 500)):
+        for text in (" ".join(some), "".join(some)):
+            assert own.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabularies_of_other_forms_go_to_the_library():
+    import public_tokenizers
+
+    own = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.merger is None and own.ids("Hello world").tolist() == own.tokenizer.encode("Hello world", add_special_tokens=False).ids
 
 
 def filled(plan, histogram):
