@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -116,6 +117,28 @@ def test_secrets_against_brute_force(docs_of):
         ('os.environ["API_TOKEN"] = "Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
         ("config['a']['db_password'] = 'Zx81kkq99Ab'", ["Zx81kkq99Ab"]),
         ("db_password: Zx81kkq99Ab=\nuser: bob", ["Zx81kkq99Ab="]),
+        ("I don't know, auth_key = 'Zx81kkq99Ab' isn't", ["Zx81kkq99Ab"]),
+        ("the users' auth_key = 'Zx81kkq99Ab'", ["Zx81kkq99Ab"]),
+        ("auth_key = \"\"\"Zx81kkq99Ab\"\"\"", ["Zx81kkq99Ab"]),
+        ("{'auth_key': # it's here\n  'Zx81kkq99Ab'}", ["Zx81kkq99Ab"]),
+        ("'auth_key': # it's here\n  'Zx81kkq99Ab'", ["Zx81kkq99Ab"]),
+        ("# auth_key = Zx81kkq99Ab", ["Zx81kkq99Ab"]),
+        ("<auth_key>Zx81kkq99Ab</auth_key>", ["Zx81kkq99Ab"]),
+        ('<add key="ApiKey" value="Zx81kkq99Ab"/>', ["Zx81kkq99Ab"]),
+        ('<property name="db_password">Zx81kkq99Ab</property>', ["Zx81kkq99Ab"]),
+        ("- name: DB_PASSWORD\n  value: Zx81kkq99Ab", ["Zx81kkq99Ab"]),
+        ("set auth_key Zx81kkq99Ab", ["Zx81kkq99Ab"]),
+        ("private_key = get_key('Zx81kkq99Ab')", ["Zx81kkq99Ab"]),
+        ("define('DB_PASSWORD', 'Zx81kkq99Ab');", ["Zx81kkq99Ab"]),
+        ('password = os.getenv("DB_PASSWORD")', []),
+        ('password = cfg["db_password"]', []),
+        ('token = process.env.TOKEN || "Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
+        ('curl -H "Authorization: Bearer Zx81kkq99Ab"', ["Zx81kkq99Ab"]),
+        ("private_key: |\n  Zx81kkq99Ab\n  Qq81kkq99Ab\nuser: bob", ["Zx81kkq99Ab\n  Qq81kkq99Ab"]),
+        ('auth_keys = ["Zx81kkq99Ab", "Qq81kkq99Ab"]', ["Zx81kkq99Ab", "Qq81kkq99Ab"]),
+        ('auth_key = (\n  "Zx81k"\n  "kq99Ab")', ["Zx81k", "kq99Ab"]),
+        ('connect(user="Zx81kkq99Ab", password="Qq81kkq99Ab")', ["Qq81kkq99Ab"]),
+        ("password:\n  user: Zx81kkq99Ab", []),
         ("colour = 'Zx81kkq99AbC'", []),
         ('token = "<your token>"', []),
     ],
@@ -138,6 +161,47 @@ def test_the_rest_of_a_text_does_not_matter(text, values):
         assert [whole[a:b] for _, a, b in secret_scan.named_spans(whole)] == values
 
 
+#: Statements of many languages; {n} is a name, {v} a literal's characters.
+FORMS = [
+    '{n} = "{v}"', "{n} = '{v}'", "{n}={v}", "{n}: {v}", '"{n}": "{v}",', "'{n}': '{v}',", '{n} := "{v}"', "{n} => '{v}',", 'const {n} = "{v}";', 'let {n}: string = "{v}";', '{n}: str = "{v}"', 'let {n}: &str = "{v}";',
+    "export {n}={v}", "ENV {n} {v}", "set {n} {v}", "run --{n} {v}", "run --{n}={v} --quiet", "<{n}>{v}</{n}>", '<add key="{n}" value="{v}" />', '<entry name="{n}">{v}</entry>', '{n} = b"{v}"', '{n} = """{v}"""', "x['{n}'] = '{v}'", 'x[1]["{n}"] = "{v}"',
+    "{n} = load('{v}')", '{n} = await load(3, "{v}")', 'connect(3, {n}="{v}")', '{n} = [\n  "{v}",\n]', '{n} = (\n  "{v}"\n)', "// {n} = '{v}'", "/* {n}: {v} */", "# {n}: {v}", "<!-- {n} = {v} -->", 'part = "{v}"\n{n} = part', "- name: {n}\n  value: {v}", '{n} = other || "{v}"',
+    "it's said: {n} = '{v}' isn't it", 'define("{n}", "{v}");', '{{"a": {{"{n}": "{v}"}}}}',
+]
+NOISE = ["the quick brown fox, it's over", "don't stop; the dogs' bones", "x = y + 3", 'print("done")', "for (i = 0; i < 9; i++) {", "}", "", "see: the manual", "12\" pipe", "<p>nothing</p>", "a ? b : c", "# a comment", "(see (there)", "'tis late"]
+
+
+def test_statements_of_a_grammar_amid_others():
+    g = random.Random(13)
+    value = lambda: "".join(g.choices("ABCDEFGHKLMNPQRSTUVWXYZ", k=4) + g.choices("abcdefhkmnprstuvwxyz", k=5) + g.choices("23456789", k=5))
+    for _ in range(1500):
+        text, want = "", set()
+        for _ in range(g.randint(1, 5)):
+            text += "".join(g.choice([n for n in NOISE if n not in ("}", "(see (there)", "for (i = 0; i < 9; i++) {")]) + "\n" for _ in range(g.randint(0, 3)))
+            secret, v = g.random() < 0.6, value()
+            statement = g.choice(FORMS).format(n=g.choice(["auth_key", "dbPassphrase", "signing-key", "CLIENT_CREDENTIAL"] if secret else ["colour", "userName", "page-title", "MAX_SIZE"]), v=v)
+            if secret:
+                want.add((len(text) + statement.index(v), len(text) + statement.index(v) + len(v)))
+            text += statement + "\n"
+        got = {(a, b) for _, a, b in secret_scan.named_spans(text)}
+        assert got == want, (text, [text[a:b] for a, b in got ^ want])
+
+
+def test_brackets_that_do_not_match_hide_nothing_on_further_lines():
+    g = random.Random(14)
+    for _ in range(300):
+        text = "".join(g.choice(NOISE) + "\n" for _ in range(g.randint(0, 8)))
+        whole = text + "\n;\nauth_key = 'Zx81kkq99Ab'\n"
+        assert [whole[a:b] for _, a, b in secret_scan.named_spans(whole)] == ["Zx81kkq99Ab"], whole
+
+
+@pytest.mark.parametrize("part", ["key", "key=", 'key="', "key='", '"""\\', "<key>", "<key ", "key: |\n", 'key(["', "/*key=", 'key["', "#key\n", "(", "[key=", "key=a1.", 'key="a=', "a=key\n"])
+def test_no_text_takes_more_than_linear_time(part):
+    began = time.perf_counter()
+    secret_scan.scan(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
 def test_no_hint_means_no_pair(monkeypatch):
     g = random.Random(8)
     parts = [*secret_scan.SENSITIVE, "pass", "word", "Api", "Key", "to", "ken", "--", "-", "_", ".", " ", " ", "\n", "=", ":", "=>", '"', "'", "[", "]", "é", "Zx81kkq99AbCd77pQ", "hunter2!Aa", "colour"]
