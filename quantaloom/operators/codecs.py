@@ -121,15 +121,66 @@ def _tree_row(tree: huffman.Tree) -> dict:
 def build_codebook(df: DataFrame, p: QuantParams, experimental_huffman: bool = False) -> DataFrame:
     """Adds ``tree``: the Huffman tree of each row's own symbol counts."""
     require_huffman(experimental_huffman)
+    fit = F.when((F.size("idx") == p.dim) | F.col("idx").isNull(), F.col("idx")).otherwise(F.raise_error(F.lit(f"rows of {p.dim} indices are expected")).cast("array<int>"))
+    return df.withColumn("tree", trees(df, fit, F.lit(p.mse_bits)))
+
+
+def histograms(idx: pa.Array, levels: np.ndarray) -> np.ndarray:
+    """How often each symbol below its row's number of levels occurs in it; without any, symbol 0 counts once."""
+    most = int(levels.max(initial=1))
+    row = np.repeat(np.arange(len(idx)), np.diff(np.asarray(idx.offsets)))
+    symbol = np.asarray(idx.flatten()).astype(np.int64)
+    fit = symbol < levels[row]
+    counts = np.bincount(row[fit] * most + symbol[fit], minlength=len(idx) * most).reshape(len(idx), most)
+    counts[:, 0] += counts.sum(1) == 0
+    return counts
+
+
+def _by_histogram(idx: pa.Array, bits: pa.Array):
+    """(tree, counts, its rows): one tree for all rows of equal counts; null rows have none."""
+    idx = idx.combine_chunks() if isinstance(idx, pa.ChunkedArray) else idx
+    levels = 1 << bits.fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    given = np.flatnonzero(~np.asarray(idx.is_null()))
+    if not len(given):
+        return
+    counts = histograms(idx.take(pa.array(given)), levels[given])
+    keyed, of = np.unique(np.c_[levels[given], counts], axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    for key, rows in zip(keyed, np.split(given[order], np.flatnonzero(np.diff(of.ravel()[order])) + 1), strict=True):
+        own = key[1 : 1 + key[0]]
+        yield huffman.build_tree(own), own, rows
+
+
+def trees(df: DataFrame, idx: Column, bits: Column) -> Column:
+    """The tree of each row's own counts, for rows of any length and width; null where ``idx`` is."""
     ship(df.sparkSession)
-    levels = 1 << p.mse_bits
 
     @F.arrow_udf(TREE)
-    def run(idx: pa.Array) -> pa.Array:
-        k, _ = kernels.matrix(idx, p.dim, "int64")
-        return pa.array([_tree_row(huffman.build_tree(huffman.symbol_counts(row, levels))) for row in k], _tree_type())
+    def run(idx: pa.Array, bits: pa.Array) -> pa.Array:
+        made, which = [], np.full(len(idx), -1)
+        for n, (tree, _, rows) in enumerate(_by_histogram(idx, bits)):
+            made.append(_tree_row(tree))
+            which[rows] = n
+        return pa.array(made, _tree_type()).take(pa.array(which, mask=which < 0))
+
+    return once(run)(idx, bits)
+
+
+def coded_bits(df: DataFrame, idx: Column, bits: Column) -> Column:
+    """The bits that each row takes with the tree of its own counts; null where ``idx`` is."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf("bigint")
+    def run(idx: pa.Array, bits: pa.Array) -> pa.Array:
+        out = np.full(len(idx), -1, np.int64)
+        idx = idx.combine_chunks() if isinstance(idx, pa.ChunkedArray) else idx
+        size = np.diff(np.asarray(idx.offsets))
+        for tree, counts, rows in _by_histogram(idx, bits):
+            lengths = np.array([len(c) for c in huffman.codes(tree)])
+            out[rows] = np.where(size[rows] > 0, int((counts * lengths).sum()), 0)
+        return pa.array(out, mask=out < 0)
 
-    return df.withColumn("tree", once(run)("idx"))
+    return once(run)(idx, bits)
 
 
 def _tree_type() -> pa.DataType:
@@ -191,14 +242,20 @@ def _by_tree(trees: pa.Array, shared: huffman.Tree | None, given: np.ndarray):
     if shared is not None:
         yield shared, np.flatnonzero(given)
         return
-    groups: dict[tuple, list[int]] = {}
-    for row, found in enumerate(trees.to_pylist()):
-        if given[row]:
-            if found is None:
-                raise ValueError("a Huffman packet without a codebook")
-            groups.setdefault((tuple(found["parent"]), tuple(found["left"]), tuple(found["right"]), found["root"]), []).append(row)
-    for key, rows in groups.items():
-        yield huffman.Tree(*key), np.array(rows)
+    trees = trees.combine_chunks() if isinstance(trees, pa.ChunkedArray) else trees
+    rows = np.flatnonzero(given)
+    if np.asarray(trees.is_null())[rows].any():
+        raise ValueError("a Huffman packet without a codebook")
+    own = trees.take(pa.array(rows))
+    size = np.diff(np.asarray(own.field("parent").offsets))
+    for n in np.unique(size):  # trees of one width at a time, told apart by their links
+        some = np.flatnonzero(size == n)
+        few = own.take(pa.array(some))
+        links = np.stack([np.asarray(few.field(side).flatten()).reshape(-1, n) for side in ("parent", "left", "right")], 1).reshape(len(some), -1)
+        keyed, of = np.unique(np.c_[links, np.asarray(few.field("root"))], axis=0, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        for key, at in zip(keyed.tolist(), np.split(some[order], np.flatnonzero(np.diff(of.ravel()[order])) + 1), strict=True):
+            yield huffman.Tree(tuple(key[:n]), tuple(key[n : 2 * n]), tuple(key[2 * n : 3 * n]), key[-1]), rows[at]
 
 
 def with_status(packets: DataFrame, engine: str = "arrow") -> DataFrame:

@@ -19,6 +19,10 @@ from quantaloom.sources.session import ship
 
 #: Query vectors of a block; more are searched in further blocks. A batch is scored against so many at once.
 QUERIES_AT_ONCE, SCORED_AT_ONCE = 10_000, 1_000
+#: Decimals of a score; scores equal in these are ranked by vec_id.
+SCORE_DIGITS = 12
+#: Coordinates up to which a dense product is written out in Column expressions to check another.
+NATIVE_DIM = 64
 ENGINES, MODES = ("native", "arrow"), ("strict", "audit")
 
 
@@ -95,12 +99,15 @@ def fused(df: DataFrame, p: QuantParams, emit_qjl: bool = True, column: str = "e
     return df.withColumns({"dim": F.lit(p.dim), "mse_bits": F.lit(p.mse_bits), "seed": F.lit(p.seed).cast("long")})
 
 
-def _native_signs(res: Column, p: QuantParams) -> Column:
-    def sign(row: Column) -> Column:
-        dot = F.aggregate(F.zip_with(res, row, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        return F.when(F.isnan(dot), -1).when(dot >= 0, 1).otherwise(-1)
+def _native_dots(res: Column, p: QuantParams) -> Column:
+    def dot(row: Column) -> Column:
+        return F.aggregate(F.zip_with(res, row, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    return F.transform(F.array(*(exprs.doubles(row) for row in p.rotated_projection)), dot)
 
-    return F.transform(F.array(*(exprs.doubles(row) for row in p.rotated_projection)), sign)
+
+def _native_signs(res: Column, p: QuantParams) -> Column:
+    return F.transform(_native_dots(res, p), lambda dot: F.when(F.isnan(dot), -1).when(dot >= 0, 1).otherwise(-1))
 
 
 def qjl_signs(df: DataFrame, p: QuantParams, column: str = "embedding", engine: str = "arrow") -> DataFrame:
@@ -128,12 +135,33 @@ def dequantize_prod(df: DataFrame, p: QuantParams, out: str = "xhat") -> DataFra
 
 
 def validate_outputs(df: DataFrame, p: QuantParams, tolerance: float = 1e-6, column: str = "embedding") -> DataFrame:
-    """Adds ``valid``: whether mse_rot, and qjl where emitted, are what the other engine's formulas give."""
-    again = fused(df.select("*", F.col("mse_rot").alias("_mse"), F.col("qjl").alias("_qjl")).drop("mse_rot", "qjl", "idx", "residual_norm", "dim", "mse_bits", "seed"), p, True, column, "arrow")
+    """Adds ``valid``: whether mse_rot, and qjl where emitted, are what formulas of another kind than ``fused``'s give.
+
+    Values by Column expressions. Signs up to ``NATIVE_DIM`` by Column expressions, beyond from the residual in the vector's
+    own coordinates and the projection that is not rotated. A sign is open where the dot product is within ``tolerance`` of 0.
+    """
     value = exprs.dequantize(exprs.quantize(exprs.rotate(F.col(column), p), p), p)
-    near = F.forall(F.zip_with("_mse", value, lambda a, b: F.abs(a - b) <= tolerance), lambda ok: F.coalesce(ok, F.lit(False)))
-    valid = near & (F.size("_mse") == p.dim) & F.coalesce(F.col("_qjl") == F.col("qjl"), F.col("_qjl").isNull())
-    return again.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_mse", "_qjl")
+    near = F.forall(F.zip_with("mse_rot", value, lambda a, b: F.abs(a - b) <= tolerance), lambda ok: F.coalesce(ok, F.lit(False)))
+    if p.dim <= NATIVE_DIM:
+        dots = _native_dots(F.zip_with(exprs.rotate(F.col(column), p), value, lambda a, b: a - b), p)
+    else:
+        dots = _own_dots(df, p)(F.zip_with(column, exprs.unrotate(value, p), lambda a, b: a - b))
+    df = df.withColumn("_dots", dots)
+    same = F.forall(F.zip_with("qjl", "_dots", lambda sign, dot: (F.abs(dot) <= tolerance) | (sign == F.when(dot >= 0, 1).otherwise(-1))), lambda ok: F.coalesce(ok, F.lit(False)))
+    valid = near & (F.size("mse_rot") == p.dim) & F.when(F.col("qjl").isNull(), True).otherwise(same & (F.size("qjl") == p.dim))
+    return df.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_dots")
+
+
+def _own_dots(df: DataFrame, p: QuantParams):
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(p.projection)  # dim^2 doubles, whatever the rows
+
+    @F.arrow_udf("array<double>")
+    def run(residual: pa.Array) -> pa.Array:
+        x, given = kernels.matrix(residual, p.dim)
+        return kernels.lists(x @ shared.value.T, given, pa.float64())
+
+    return run
 
 
 def inner_products(queries: DataFrame, packets: DataFrame, p: QuantParams, k: int = 10) -> DataFrame:
@@ -166,8 +194,10 @@ def _block_products(ids: list, vectors: list[list[float]], packets: DataFrame, p
             x, _ = kernels.matrix(batch.column("xhat"), p.dim)
             vec = batch.column("vec_id").to_numpy()
             for at in range(0, len(ids), SCORED_AT_ONCE):
-                scores = x @ q[at : at + SCORED_AT_ONCE].T
-                top = np.argsort(-scores, axis=0, kind="stable")[:k]
+                # A matrix product's last digits depend on a row's place in its batch; equal vectors must tie.
+                scores = np.round(x @ q[at : at + SCORED_AT_ONCE].T, SCORE_DIGITS)
+                by = np.broadcast_to(vec[:, None], scores.shape)
+                top = np.lexsort((by, -scores), axis=0)[:k]  # of equal scores the smaller vec_id, as in the rank below
                 columns = np.tile(ids[at : at + SCORED_AT_ONCE], len(top)), vec[top].ravel(), np.take_along_axis(scores, top, 0).ravel()
                 yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 

@@ -120,8 +120,8 @@ class VectorCodec:
     def huffman(self, indexed: DataFrame, tree: huffman.Tree | str | None = None) -> DataFrame:
         return codecs.huffman_encode(indexed, self.params(), tree, self.huffman_)
 
-    def huffman_with_policy(self, indexed: DataFrame, cadence: int) -> DataFrame:
-        return policy.encode_with_reuse(indexed, self.params(), cadence, experimental_huffman=self.huffman_)
+    def huffman_with_policy(self, indexed: DataFrame, cadence: int, initial: DataFrame | None = None) -> DataFrame:
+        return policy.encode_with_reuse(indexed, self.params(), cadence, experimental_huffman=self.huffman_, initial=initial)
 
     def huffman_auto(self, indexed: DataFrame) -> DataFrame:
         return policy.encode_auto(indexed, self.params(), experimental_huffman=self.huffman_)

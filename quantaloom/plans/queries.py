@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantaloom.functions import exprs, huffman
@@ -162,9 +162,14 @@ def dequantize_prod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(df, "xhat", "coord", "value").withColumn("value", F.round("value", 6))
 
 
-@query("SELECT vec_id, true AS valid FROM embeddings")
+@query("SELECT vec_id, vec_id % 3 = 0 AS valid FROM embeddings")
 def validate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.validate_outputs(vectors.fused(embeddings(spark, sf_dir), P), P).select("vec_id", "valid")
+    """A third of the rows as they are, a third with one sign turned, a third with one value moved."""
+    df = vectors.fused(embeddings(spark, sf_dir), P)
+    third = F.col("vec_id") % 3
+    turned = F.transform("qjl", lambda s, i: F.when((i == 5) & (third == 1), -s).otherwise(s))
+    moved = F.transform("mse_rot", lambda v, i: F.when((i == 9) & (third == 2), v + 0.001).otherwise(v))
+    return vectors.validate_outputs(df.withColumns({"qjl": turned, "mse_rot": moved}), P).select("vec_id", "valid")
 
 
 @query(T.sql("SELECT vec_id, round(sum(c), 9) AS mse_rot_sum, CAST(sum(idx) AS BIGINT) AS idx_sum, CAST(NULL AS VARCHAR) AS qjl FROM deq GROUP BY vec_id", "deq"))
@@ -195,6 +200,12 @@ def unpack_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(codecs.decode(packed(spark, sf_dir), P), "idx", "coord", "idx")
 
 
+@query(T.sql("SELECT vec_id, CAST(coord AS INTEGER) AS coord, idx FROM q", "q"))
+def unpack_indices_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By Column expressions only, through delta-xor and back."""
+    return long_form(codecs.decode(codecs.delta_xor(packed(spark, sf_dir), "native"), P, engine="native"), "idx", "coord", "idx")
+
+
 @query(T.sql(WORDS + "xored", "xored"))
 def delta_xor_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(codecs.delta_xor(packed(spark, sf_dir)), "payload_words", "w", "word")
@@ -315,7 +326,7 @@ def kv_model_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = codecs.accounting(codecs.huffman_encode(indexed(spark, sf_dir), P, experimental_huffman=True))
     mean = F.avg("wire_bytes")
-    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(mean, 6).alias("huffman_bytes"), F.round(100 * (1 - mean / 24), 6).alias("saved_percent"))
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(mean, 6).alias("huffman_bytes"), F.round(100 * (1 - mean / exprs.bits_to_bytes(F.lit(P.dim * P.mse_bits))), 6).alias("saved_percent"))
 
 
 RUNS = ", ".join(f"({s}, {t}, {q!r})" for s, t, q in SWEEP)
@@ -380,6 +391,53 @@ def auto_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.when(F.col("stream_key") < 5, "low").otherwise("high").alias("part"), "cadence").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Streams that change width every 20 vectors and back, are invalidated before each vector whose id ends in 35, and of which
+#: the even ones begin with a book of the first width.
+WIDE = QuantParams(64, 5, 77)
+
+
+def mixed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = embeddings(spark, sf_dir).select("vec_id", F.col("label").alias("stream_key"), (F.col("vec_id") * 2 + 1).alias("seq"), "embedding")
+    wide = (F.col("vec_id") / 20).cast("long") % 2 == 1
+    both = vectors.quantize_mse(df.where(~wide), P).withColumn("bit_width", F.lit(P.mse_bits)).unionByName(vectors.quantize_mse(df.where(wide), WIDE).withColumn("bit_width", F.lit(WIDE.mse_bits)))
+    both = both.select("vec_id", "stream_key", "seq", "idx", F.lit(P.dim).alias("dim"), "bit_width", F.lit(None).cast("string").alias("control"))
+    stops = df.where("vec_id % 100 = 35").select("vec_id", "stream_key", (F.col("seq") - 1).alias("seq"), F.lit(None).cast("array<int>").alias("idx"), F.lit(P.dim).alias("dim"), F.lit(0).alias("bit_width"), F.lit("invalidate").alias("control"))
+    return both.unionByName(stops)
+
+
+_SEGMENTS = """rows AS (SELECT vec_id, label, (vec_id // 20) % 2 AS wide, sum(CAST(vec_id % 100 = 35 AS INTEGER)) OVER (PARTITION BY label ORDER BY vec_id) AS stops FROM embeddings),
+turns AS (SELECT *, CAST(lag(wide) OVER w IS NULL OR lag(wide) OVER w <> wide OR lag(stops) OVER w <> stops AS INTEGER) AS new FROM rows WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+segs AS (SELECT *, sum(new) OVER (PARTITION BY label ORDER BY vec_id) AS seg FROM turns),
+nths AS (SELECT *, row_number() OVER (PARTITION BY label, seg ORDER BY vec_id) - 1 AS nth FROM segs)"""
+
+
+@query(f"""WITH {_SEGMENTS},
+e AS (SELECT *, nth % 7 AS tokens, nth % 7 = 0 AND NOT (label % 2 = 0 AND seg = 1 AND wide = 0 AND stops = 0 AND nth = 0) AS rebuilt FROM nths)
+SELECT vec_id, tokens, rebuilt, CAST(sum(CAST(rebuilt AS INTEGER)) OVER (PARTITION BY label ORDER BY vec_id) + CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS generation,
+       min(vec_id) OVER (PARTITION BY label) AS policy FROM e""")
+def reuse_policy_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generations of streams that change width, are invalidated, or begin with a book. ``policy``: the first vector of the policy's id."""
+    tree = codecs.tree_literal(huffman.build_tree([0] * (1 << P.mse_bits)))
+    books = embeddings(spark, sf_dir).where("label % 2 = 0").select(F.col("label").alias("stream_key")).distinct().withColumn("tree", tree)
+    df = policy.encode_with_reuse(mixed_stream(spark, sf_dir), [P, WIDE], CADENCE, experimental_huffman=True, initial=books)
+    return df.select("vec_id", "tokens", "rebuilt", F.col("codebook_generation").alias("generation"), F.min("vec_id").over(Window.partitionBy("policy_id")).alias("policy"))
+
+
+_COST = "SELECT q.vec_id, CAST(ceil(sum(length(code)) / 8) AS BIGINT) AS b FROM q JOIN code ON code.vec_id = q.vec_id AND symbol = idx GROUP BY q.vec_id"
+_PAYS = "CASE WHEN b >= {fixed} THEN 1 ELSE least(256, greatest(1, CAST(ceil({book} / ({fixed} - b)) AS BIGINT))) END"
+
+
+@query(f"""WITH {_SEGMENTS},
+cost AS (SELECT vec_id, 0 AS wide, {_PAYS.format(fixed=24, book=196)} AS cadence FROM ({T.sql(_COST, "code")}) UNION ALL SELECT vec_id, 1, {_PAYS.format(fixed=32, book=388)} FROM ({Twins(WIDE).sql(_COST, "code")})),
+timed AS (SELECT n.*, first_value(cadence) OVER (PARTITION BY label, seg ORDER BY vec_id) AS cadence FROM nths n JOIN cost USING (vec_id, wide))
+SELECT vec_id, CAST(cadence AS INTEGER) AS cadence, nth % cadence AS tokens, nth % cadence = 0 AS rebuilt, CAST(sum(CAST(nth % cadence = 0 AS INTEGER)) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS generation,
+       min(vec_id) OVER (PARTITION BY label, seg) AS policy FROM timed""")
+def auto_policy_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The automatic policy on the same streams, without books to begin with: each run of a shape is a policy of its own."""
+    df = policy.encode_auto(mixed_stream(spark, sf_dir), [P, WIDE], experimental_huffman=True)
+    return df.select("vec_id", "cadence", "tokens", "rebuilt", F.col("codebook_generation").alias("generation"), F.min("vec_id").over(Window.partitionBy("policy_id")).alias("policy"))
+
+
 # Sources and extensions
 
 

@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -67,6 +73,10 @@ def test_validation_sees_a_changed_value(spark):
     df = vectors.fused(synthetic_vectors(spark, 4, 16, 1), p)
     wrong = df.withColumn("mse_rot", F.when(F.col("vec_id") == 2, F.transform("mse_rot", lambda v: v + 0.01)).otherwise(F.col("mse_rot")))
     assert [r["valid"] for r in vectors.validate_outputs(wrong, p).orderBy("vec_id").collect()] == [True, True, False, True]
+    for dim in (16, 96):  # signs by expressions, and from the vector's own coordinates
+        p_ = QuantParams(dim, 4, 1)
+        turned = vectors.fused(synthetic_vectors(spark, 4, dim, 1), p_).withColumn("qjl", F.transform("qjl", lambda s, i: F.when((i == 9) & (F.col("vec_id") == 1), -s).otherwise(s)))
+        assert [r["valid"] for r in vectors.validate_outputs(turned, p_).orderBy("vec_id").collect()] == [True, False, True, True]
     off = vectors.fused(synthetic_vectors(spark, 4, 16, 1), p, emit_qjl=False)
     assert all(r["qjl"] is None for r in off.collect()) and all(r["valid"] for r in vectors.validate_outputs(off, p).collect())
 
@@ -290,6 +300,112 @@ def test_a_change_of_width_rebuilds(spark):
     assert [r["rebuilt"] for r in found] == [True, False, True, True, False, True, False, True] and [r["generation"] for r in found] == [1, 1, 2, 3, 3, 4, 4, 5]
 
 
+class Reuse:
+    """The fixed policy, a call a vector."""
+
+    def __init__(self, cadence, tree=None):
+        self.cadence, self.book, self.tokens, self.generation = cadence, tree, 0, int(tree is not None)
+
+    def invalidate(self):
+        self.book, self.tokens = None, 0
+
+    def encode(self, idx, bits):
+        rebuilt = self.book is None or self.book.levels != 1 << bits or self.tokens >= self.cadence
+        if rebuilt:
+            self.book, self.tokens, self.generation = huffman.build_tree(huffman.symbol_counts(np.array(idx), 1 << bits)), 0, self.generation + 1
+        self.tokens += 1
+        size = [len(c) for c in huffman.codes(self.book)]
+        return self.tokens - 1, rebuilt, self.generation, sum(size[k] for k in idx)
+
+
+class Auto:
+    """The automatic policy, a call a vector."""
+
+    def __init__(self):
+        self.inner, self.shape, self.number = None, None, 0
+
+    def invalidate(self):
+        self.inner, self.shape = (self.inner[0], None), None
+
+    def encode(self, idx, bits):
+        if self.shape != (len(idx), bits):
+            tree = huffman.build_tree(huffman.symbol_counts(np.array(idx), 1 << bits))
+            size = [len(c) for c in huffman.codes(tree)]
+            saved = max(0, -(-len(idx) * bits // 8) - -(-sum(size[k] for k in idx) // 8))
+            cadence = 1 if not saved else max(1, min(256, -(-((6 << bits) + 1) * 4 // saved)))
+            generation = self.inner[0] if self.inner else 0
+            self.inner, self.shape, self.number = (generation, Reuse(cadence)), (len(idx), bits), self.number + 1
+        before, policy_ = self.inner
+        tokens, rebuilt, generation, written = policy_.encode(idx, bits)
+        if rebuilt:
+            self.inner = (before + 1, policy_)
+        return tokens, rebuilt, self.inner[0], written, policy_.cadence, self.number
+
+
+def shaped_stream(spark, seed=4):
+    """Three streams whose vectors change dim and width, with control rows between; and the rows as a list."""
+    g, rows = np.random.default_rng(seed), []
+    for key in range(3):
+        dim, bits = 32, 3
+        for seq in range(60):
+            if g.random() < 0.12:
+                dim, bits = int(g.choice([32, 64])), int(g.choice([2, 3]))
+            drop = g.random() < 0.08
+            skewed = np.minimum(g.geometric(0.6, dim) - 1, (1 << bits) - 1)
+            rows.append((key, seq, None if drop else [int(v) for v in skewed], dim, bits, "invalidate" if drop else None))
+    return spark.createDataFrame(rows, "stream_key long, seq long, idx array<int>, dim int, bit_width int, control string").repartition(5), rows
+
+
+SHAPES = [QuantParams(32, 3, 1), QuantParams(32, 4, 1), QuantParams(64, 3, 1), QuantParams(64, 4, 1)]
+
+
+def played(rows, make):
+    want = {}
+    for key in range(3):
+        one = make(key)
+        for _, seq, idx, _, bits, control in (r for r in rows if r[0] == key):
+            if control:
+                one.invalidate()
+            else:
+                want[key, seq] = one.encode(idx, bits)
+    return want
+
+
+@pytest.mark.parametrize("cadence", [1, 4])
+def test_streams_that_change_shape(spark, cadence):
+    df, rows = shaped_stream(spark)
+    tree = huffman.build_tree([5, 1, 1, 1, 0, 0, 0, 2])
+    books = spark.range(2).select(F.col("id").alias("stream_key"), codecs.tree_literal(tree).alias("tree"))
+    want = played(rows, lambda key: Reuse(cadence, tree if key < 2 else None))
+    made = policy.encode_with_reuse(df, SHAPES, cadence, experimental_huffman=True, initial=books)
+    assert {(r["stream_key"], r["seq"]): (r["tokens"], r["rebuilt"], r["codebook_generation"], r["written_bits"]) for r in made.collect()} == want
+    assert made.select("policy_id").distinct().count() == 3
+    registry = policy.registry(df, SHAPES, cadence, initial=books)
+    assert registry.groupBy("policy_id", "generation").count().where("count > 1").isEmpty()
+    for p in SHAPES:
+        back = policy.decode_with_policy(made.where((F.col("dim") == p.dim) & (F.col("bit_width") == p.mse_bits)), registry, p).collect()
+        assert all(r["idx"] == next(x[2] for x in rows if x[:2] == (r["stream_key"], r["seq"])) for r in back)
+
+
+def test_the_automatic_policy_on_streams_that_change_shape(spark):
+    df, rows = shaped_stream(spark, 6)
+    want = played(rows, lambda key: Auto())
+    made = policy.encode_auto(df, SHAPES, experimental_huffman=True).collect()
+    assert {(r["stream_key"], r["seq"]): (r["tokens"], r["rebuilt"], r["codebook_generation"], r["written_bits"], r["cadence"]) for r in made} == {k: v[:5] for k, v in want.items()}
+    ids = {(r["stream_key"], want[r["stream_key"], r["seq"]][5]): set() for r in made}
+    for r in made:
+        ids[r["stream_key"], want[r["stream_key"], r["seq"]][5]].add(r["policy_id"])
+    assert all(len(x) == 1 for x in ids.values()) and len(set.union(*ids.values())) == len(ids) > 10
+    status = policy.policy_status(policy.encode_auto(df, SHAPES, experimental_huffman=True), policy.registry_auto(df, SHAPES))
+    assert {r["status"] for r in status.collect()} == {"ok"}
+
+
+def test_rows_of_no_given_shape_end_the_query(spark):
+    df, _ = shaped_stream(spark)
+    with pytest.raises(PySparkException):
+        policy.encode_with_reuse(df, SHAPES[:2], 3, experimental_huffman=True).collect()
+
+
 def test_policies_refuse(spark):
     p = QuantParams(32, 4, 0xE100)
     df = stream_of(spark, p, 8)
@@ -400,6 +516,15 @@ def test_blocks_of_queries_find_the_same(spark, monkeypatch):
     assert vectors.inner_products(queries.limit(0), packets, p, 4).count() == 0
 
 
+def test_equal_scores_are_ranked_by_id_whatever_the_batches(spark):
+    p = QuantParams(16, 6, 3)
+    _, x = unit(spark, 1, 16, 5)
+    df = spark.createDataFrame([(100 - i, [float(v) for v in x[0]]) for i in range(30)], "vec_id long, embedding array<float>").coalesce(1)
+    queries = df.where("vec_id = 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = vectors.inner_products(queries, vectors.quantize_prod(df, p), p, 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [71, 72, 73]
+
+
 def test_more_queries_than_a_block(spark):
     p = QuantParams(16, 6, 3)
     df, _ = unit(spark, 20, 16, 5)
@@ -414,6 +539,16 @@ def test_registry_names():
     assert len(names) >= 45 and set(entry.oracle_sql()) <= set(names)
 
 
+def test_the_registry_without_the_subpackage_of_operators(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "quantaloom", tmp_path / "quantaloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    check = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 45 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_invalidation_keeps_the_generation(spark, tmp_path):
     from quantaloom.streaming.policy import reuse_stream
 
@@ -427,6 +562,19 @@ def test_invalidation_keeps_the_generation(spark, tmp_path):
     assert got == {0: (1, 0), 1: (1, 1), 2: (1, 2), 4: (2, 0), 5: (2, 1)}
 
 
+def test_the_stream_changes_width_and_begins_with_a_book(spark, tmp_path):
+    from quantaloom.streaming.policy import reuse_stream
+
+    df, rows = shaped_stream(spark)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    tree = huffman.build_tree([5, 1, 1, 1, 0, 0, 0, 2])
+    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = reuse_stream(source, SHAPES[0], 4, True, tree).writeStream.format("memory").queryName("shaped").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["stream_key"], r["seq"]): (r["tokens"], r["rebuilt"], r["generation"], r["written_bits"]) for r in spark.table("shaped").collect()}
+    assert got == played(rows, lambda key: Reuse(4, tree))
+
+
 def test_pages_are_taken_once(spark, tmp_path):
     from quantaloom.streaming.policy import paged
 
