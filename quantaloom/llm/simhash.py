@@ -4,13 +4,14 @@ A text's word shingles vote on each bit of its fingerprint. Equal fingerprints a
 
 * ``pigeonhole``: the bits are split into more blocks than may differ, so a pair within the distance shares at least
   the blocks that no difference falls into, and joins on them. No pair is missed.
-* ``sampled``: for a similarity (a share of bits that differ far above a few bits) no pigeonhole is selective. The bits are
-  independent by construction, so the blocks are runs of them, as many as make a pair at exactly the similarity share
-  one with the asked-for recall; more similar pairs share one more surely.
+* ``sampled``: for a similarity (a share of bits that differ far above a few bits) no pigeonhole is selective. A wider
+  fingerprint is split into small blocks, and each key is a choice of them: as many keys as make a pair at exactly the similarity
+  share one with the asked-for recall; more similar pairs share one more surely. Keys, blocks and distances depend on the
+  similarity and the recall alone, never on how many rows there are.
 
-A block's nodes are compared in cells of bounded size: nodes of a crowded block are dealt into chunks, and each pair of
-chunks is a cell. A cell emits a spanning forest of its links, not all its pairs, so no link between classes is lost while
-output stays in proportion to nodes.
+The nodes that share a key are compared in cells of bounded size: nodes of a crowded key are dealt into chunks, and each
+pair of chunks is a cell. A cell emits a spanning forest of its links, not all its pairs, so no link between classes is lost
+while output stays in proportion to nodes.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other. Texts
 are taken whole. Null doc_ids are left out of a component's smallest doc_id; a component of such rows alone has a null
@@ -26,16 +27,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantaloom.llm._common import cut, mapped, slices, table, texts_of
 from quantaloom.llm.components import components
 
-#: Nodes of a block that one cell takes; two chunks of this size meet in a cell.
-CHUNK = 1024
-#: Blocks up to this size are compared at once, many to a step.
-SMALL = 32
+#: Nodes of a key that one cell takes; two chunks of about this size meet in a cell. Crowded keys are found on a share of the
+#: nodes, one in ``SAMPLE``: a key that is missed there takes one cell, with the same result.
+CHUNK, SAMPLE = 2048, 8
+#: Cells up to this size are compared at once, many to a step; of larger ones so many pairs.
+SMALL, PAIRS_AT_ONCE = 32, 1 << 18
+#: Bits of a key, of the fingerprint it is taken from, and of a block.
+KEY_BITS, WIDE_BITS, BLOCK_BITS, SEED = 18, 256, 2, 11
+#: The bits of a key in the order of its value, counted from the fingerprint's front.
+Key = list[int]
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -91,25 +97,28 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, distinct: bool = F
     return mapped(docs.select("doc_id", "text"), run, schema)
 
 
-def pigeonhole_keys(distance: int, nodes: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Bit ranges of each key over 64 bits: all choices of intact blocks.
+def pigeonhole_keys(distance: int, nodes: int) -> list[Key]:
+    """The keys over 64 bits: all choices of intact blocks.
 
     The number of blocks is the least that leaves 16 nodes or fewer to a key in the mean: with b blocks at least
-    b - distance are intact in a close pair.
+    b - distance are intact in a close pair, whatever b, so the links are the same.
     """
     for blocks in range(distance + 2, 65):
         sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
         if nodes <= 16 * 2 ** sum(sorted(sizes)[: blocks - distance]) or blocks == distance + 6:
             break
     starts = [0, *itertools.accumulate(sizes)]
-    return [(n, [(starts[i], sizes[i]) for i in chosen]) for n, chosen in enumerate(itertools.combinations(range(blocks), blocks - distance))]
+    return [[bit for i in chosen for bit in range(starts[i], starts[i] + sizes[i])] for chosen in itertools.combinations(range(blocks), blocks - distance)]
 
 
-def sampled_keys(differ: float, recall: float, nodes: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Runs of independent bits, as many as make a pair with a ``differ`` share of unequal bits share one with ``recall``."""
-    bits = max(14, math.ceil(math.log2(max(nodes, 2))) - 10)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
-    return [(n, [(n * bits, bits)]) for n in range(tables)]
+def sampled_keys(differ: float, recall: float) -> list[Key]:
+    """Choices of blocks, as many as make a pair with a ``differ`` share of unequal bits share one with ``recall``."""
+    blocks, chosen = WIDE_BITS // BLOCK_BITS, KEY_BITS // BLOCK_BITS
+    intact = (1 - differ) ** BLOCK_BITS
+    share = [(math.comb(blocks, m) * intact**m * (1 - intact) ** (blocks - m), math.comb(m, chosen) / math.comb(blocks, chosen)) for m in range(blocks + 1)]
+    keys = next(n for n in itertools.count(1) if sum(p * (1 - (1 - hit) ** n) for p, hit in share) >= recall)
+    g = np.random.default_rng(SEED)
+    return [[BLOCK_BITS * int(i) + k for i in np.sort(g.permutation(blocks)[:chosen]) for k in range(BLOCK_BITS)] for _ in range(keys)]
 
 
 def differing_share(similarity: float) -> float:
@@ -117,80 +126,74 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _bits(start: int, size: int) -> Column:
-    """Bits ``start`` to ``start + size`` of the fingerprint's bytes, counted from the front, as a long."""
-    first, last = start // 8, (start + size - 1) // 8
-    number = F.conv(F.hex(F.substring("fp", first + 1, last - first + 1)), 16, 10).cast("long")  # well below 8 bytes
-    return F.shiftright(number, (last + 1) * 8 - start - size).bitwiseAND(F.lit((1 << size) - 1))
+def key_values(prints: np.ndarray, keys: list[Key]) -> np.ndarray:
+    """The value of each key, with its number above it, of each row of fingerprints."""
+    bits = np.unpackbits(np.ascontiguousarray(prints.astype(">u8")).view(np.uint8).reshape(len(prints), -1), axis=1)
+    out = np.zeros((len(prints), len(keys)), np.int64)
+    for n, key in enumerate(keys):
+        value = np.full(len(prints), n, np.int64)
+        for bit in key:
+            value = value << 1 | bits[:, bit]
+        out[:, n] = value
+    return out
+
 
+def _keyed(nodes: DataFrame, keys: list[Key]) -> DataFrame:
+    """(fp, k): a row for each key of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            if batch.num_rows:
+                values = key_values(_numbers(batch.column("fp")), keys)
+                ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(keys))
+                yield pa.record_batch([batch.column("fp"), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["fp", "k"])
 
-def _block_key(n: int, ranges: list[tuple[int, int]]) -> Column:
-    value: Column = F.lit(0).cast("long")
-    for start, size in ranges:
-        value = F.shiftleft(value, size).bitwiseOR(_bits(start, size))
-    return F.struct(F.lit(n).cast("short").alias("n"), value.alias("v"))
+    return mapped(nodes.select("fp"), run, "fp binary, k array<bigint>").select("fp", F.explode("k").alias("k"))
 
 
-def links(nodes: DataFrame, keys: list[tuple[int, list[tuple[int, int]]]], distance: int) -> DataFrame:
+def links(nodes: DataFrame, keys: list[Key], distance: int) -> DataFrame:
     """(a, b): links between fingerprints of ``nodes`` (distinct ``fp``, a written table) at ``distance`` bits or fewer that
     share a key; of each cell a spanning forest."""
     return _in_cells(nodes, keys, _compare(distance), "a binary, b binary")
 
 
-def _in_cells(nodes: DataFrame, keys: list[tuple[int, list[tuple[int, int]]]], run: Callable, schema: str) -> DataFrame:
-    """``run`` over the cells of ``nodes``. Blocks are counted first, so that each row is shuffled once, to its block or, from
-    a crowded one, to the cells of its chunk."""
-    keyed = nodes.select("fp", F.explode(F.array(*(_block_key(*k) for k in keys))).alias("key")).select("fp", F.col("key.n").alias("n"), F.col("key.v").alias("v"))
-    crowded = cut(keyed.groupBy("n", "v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK))
-    none = F.lit(0).cast("int")
-    if crowded.isEmpty():
-        calm, dealt = keyed, None
-    else:
-        calm = keyed.join(crowded, ["n", "v"], "left_anti")
-        chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        dealt = keyed.join(crowded, ["n", "v"]).withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", other)
-        dealt = dealt.select("fp", "n", "v", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk")
-        dealt = dealt.repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
-        dealt = mapped(dealt, run, schema)
-    calm = calm.select("fp", "n", "v", none.alias("x"), none.alias("y"), none.alias("chunk"))
-    calm = mapped(calm.repartition("n", "v").sortWithinPartitions("n", "v"), run, schema)
-    return calm if dealt is None else calm.unionByName(dealt)
+#: A cell within a key: the two chunks that meet, and a last bit: whether the row is of the second.
+_CHUNK_BITS = 21
 
 
-def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "v", "x", "y")], 1)
-                prints = _numbers(batch.column("fp"))
-                chunk = batch.column("chunk").to_numpy()
-                if rest:
-                    cells, prints, chunk = (np.concatenate(x) for x in zip(rest, (cells, prints, chunk), strict=True))
-                # The last cell may go on in the next batch.
-                starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(1)])
-                end = starts[-1]
-                rest = cells[end:], prints[end:], chunk[end:]
-                cells, prints, chunk, starts = cells[:end], prints[:end], chunk[:end], starts[:-1]
-            elif rest:
-                cells, prints, chunk = rest
-                starts = np.array([0])
-            else:
-                return
-            if len(cells):
-                a, b = close_in_cells(starts, cells, prints, chunk, distance)
-                if len(a):
-                    yield pa.record_batch([_binary(prints[a]), _binary(prints[b])], names=["a", "b"])
-
-    return run
-
-
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(where each cell starts, cell of each row, rows) with no cell in two parts; ``batches`` are sorted by cell."""
+def _in_cells(nodes: DataFrame, keys: list[Key], run: Callable, schema: str) -> DataFrame:
+    """``run`` over the cells of ``nodes``, rows (k, c, fp) sorted by both. Each row is shuffled once, to its key's cell or,
+    from a crowded key, to the cells of its chunk."""
+    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0)
+    size = F.count(F.lit(1)) * SAMPLE
+    crowded = cut(_keyed(some, keys).groupBy("k").agg(F.ceil(size / CHUNK).cast("int").alias("chunks")).where("chunks > 1"))
+    rows = _keyed(nodes, keys)
+    if crowded.isEmpty():
+        rows = rows.repartition("k").sortWithinPartitions("k").select("k", F.lit(0).cast("long").alias("c"), "fp")
+        return mapped(rows, run, schema)
+    rows = rows.join(crowded, "k", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", "k"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cell = F.shiftleft(F.least("own", "other").cast("long"), _CHUNK_BITS).bitwiseOR(F.greatest("own", "other").cast("long"))
+    second = F.when(F.col("own") > F.col("other"), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    rows = rows.select("k", cell.alias("_cell"), second.alias("_second"), "fp").repartition("k", "_cell")
+    rows = rows.select("k", F.shiftleft("_cell", 1).bitwiseOR(F.col("_second")).alias("c"), "fp").sortWithinPartitions("k", "c")
+    return mapped(rows, run, schema)
+
+
+class _Cells:
+    """Rows sorted by cell: where each cell starts, its key's number, whether two chunks meet in it, whose second each row is of."""
+
+    def __init__(self, k: np.ndarray, c: np.ndarray, prints: np.ndarray, key_bits: int = 0) -> None:
+        cell = c >> 1
+        self.starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])]) if len(k) else np.empty(0, np.int64)
+        self.sizes = np.diff(np.r_[self.starts, len(k)])
+        self.cell = np.repeat(np.arange(len(self.starts)), self.sizes)
+        self.mixed = (cell >> _CHUNK_BITS != cell & ((1 << _CHUNK_BITS) - 1))[self.starts]
+        self.second, self.key, self.prints = (c & 1).astype(bool), k >> key_bits, prints
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches with no cell in two; ``batches`` are sorted by cell."""
     rest: pa.RecordBatch | None = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
@@ -200,53 +203,88 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
             batch = rest if last else pa.concat_batches([rest, batch])
         if batch is None:
             return
-        cells = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "v", "x", "y")], 1)
-        starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(1)])
-        end = batch.num_rows if last else int(starts[-1])
-        rest = None if last else batch.slice(end)
+        end = batch.num_rows
+        if not last:
+            k, cell = batch.column("k").to_numpy(), batch.column("c").to_numpy() >> 1
+            end = int(np.flatnonzero((k != k[-1]) | (cell != cell[-1])).max(initial=-1)) + 1
+            rest = batch.slice(end)
         if end:
-            yield starts if last else starts[:-1], cells[:end], batch.slice(0, end)
+            yield batch.slice(0, end)
 
 
-def _first_shared(differ: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The first of ``tables`` blocks of ``bits`` bits in which each pair, given as its unequal bits, agrees."""
-    loose = np.unpackbits(differ.astype(">u8").view(np.uint8), axis=1, count=bits * tables)
-    return loose.reshape(len(differ), tables, bits).any(2).argmin(1)
+def _compare(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_cells(batches):
+            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")))
+            a, b = close_in_cells(cells, distance)
+            if len(a):
+                yield pa.record_batch([_binary(cells.prints[a]), _binary(cells.prints[b])], names=["a", "b"])
+
+    return run
+
+
+def _masks(keys: list[Key], lanes: int) -> np.ndarray:
+    """The bits of each key as a mask over the fingerprint's numbers."""
+    bits = np.zeros((len(keys), lanes * 64), np.uint8)
+    for n, key in enumerate(keys):
+        bits[n, key] = 1
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+
+
+def first_shared(differ: np.ndarray, key: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which pairs, given as their unequal bits, share no key before ``key``."""
+    out, left = np.zeros(len(differ), bool), np.arange(len(differ))
+    for n in range(int(key.max(initial=-1)) + 1):
+        here = key[left] == n
+        out[left[here]] = True
+        left = left[~here]
+        left = left[((differ[left] & masks[n]) != 0).any(1)]
+        if not len(left):
+            break
+    return out
 
 
-def _candidates(starts: np.ndarray, cells: np.ndarray, prints: np.ndarray, chunk: np.ndarray, distance: int, bits: int, tables: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs in a cell at ``distance`` bits or fewer, each pair only in the first block that it shares:
-    those of small cells together, those of another row by row."""
+def _candidates(cells: _Cells, distance: int, masks: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs in a cell at ``distance`` bits or fewer, each pair only under the first key that it shares.
+
+    ``apart`` says which pairs are still to be looked at; it is asked again for every block of pairs of a large cell."""
+    prints = cells.prints
 
     def own(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = _first_shared(prints[a] ^ prints[b], bits, tables) == cells[a, 0]
+        first = first_shared(prints[a] ^ prints[b], cells.key[a], masks)
         return a[first], b[first]
 
-    sizes = np.diff(np.r_[starts, len(cells)])
-    cell = np.repeat(np.arange(len(starts)), sizes)
-    calm = (sizes <= SMALL) & (cells[starts, 2] == cells[starts, 3])
-    for shift in range(1, min(SMALL, int(sizes[calm].max(initial=1)))):
-        i = np.flatnonzero((cell[shift:] == cell[:-shift]) & calm[cell[shift:]])
+    calm = (cells.sizes <= SMALL) & ~cells.mixed
+    for shift in range(1, min(SMALL, int(cells.sizes[calm].max(initial=1)))):
+        i = np.flatnonzero((cells.cell[shift:] == cells.cell[:-shift]) & calm[cells.cell[shift:]])
         near = i[_near(prints[i], prints[i + shift], distance)] if len(i) else i
         if len(near):
             yield own(near, near + shift)
     for at in np.flatnonzero(~calm):
-        rows = np.arange(starts[at], starts[at] + sizes[at])
-        x, y = cells[starts[at], 2:]
-        for i in rows if x == y else rows[chunk[rows] == x]:
-            others = rows[rows > i] if x == y else rows[chunk[rows] != x]
-            near = others[_near(np.broadcast_to(prints[i], (len(others), prints.shape[1])), prints[others], distance)]
+        rows = np.arange(cells.starts[at], cells.starts[at] + cells.sizes[at])
+        ours, theirs = (rows[~cells.second[rows]], rows[cells.second[rows]]) if cells.mixed[at] else (rows, rows)
+        step = max(1, PAIRS_AT_ONCE // max(1, len(theirs)))
+        for some in (ours[i : i + step] for i in range(0, len(ours), step)):
+            a, b = np.repeat(some, len(theirs)), np.tile(theirs, len(some))
+            if not cells.mixed[at]:
+                a, b = a[a < b], b[a < b]
+            if apart is not None:
+                keep = apart(a, b)
+                a, b = a[keep], b[keep]
+            near = _near(prints[a], prints[b], distance)
             if len(near):
-                yield own(np.full(len(near), i), near)
+                yield own(a[near], b[near])
 
 
-def _promising(distance: int, bits: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _promising(keys: list[Key], distance: int, lanes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The rows that have a candidate in their cell."""
+    masks, key_bits = _masks(keys, lanes), len(keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, cells, batch in _whole_cells(batches):
+        for batch in _whole_cells(batches):
             marked = np.zeros(batch.num_rows, bool)
-            for a, b in _candidates(starts, cells, _numbers(batch.column("fp")), batch.column("chunk").to_numpy(), distance, bits, tables):
+            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")), key_bits)
+            for a, b in _candidates(cells, distance, masks, lambda a, b: ~(marked[a] & marked[b])):  # noqa: B023
                 marked[a] = marked[b] = True
             if marked.any():
                 yield batch.filter(pa.array(marked))
@@ -254,28 +292,30 @@ def _promising(distance: int, bits: int, tables: int) -> Callable[[Iterator[pa.R
     return run
 
 
-def _exact(distance: int, bits: int, tables: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _exact(keys: list[Key], distance: int, lanes: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each cell a spanning forest of the candidates whose shingle sets have a Jaccard ``similarity`` or more."""
+    masks, key_bits = _masks(keys, lanes), len(keys[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, cells, batch in _whole_cells(batches):
+        for batch in _whole_cells(batches):
+            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")), key_bits)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
-            root = list(range(len(sets)))
+            size = np.array([len(x) for x in sets])
+            label, out = np.arange(len(sets)), []
 
-            def top(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = i = root[root[i]]
-                return i
+            def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])  # noqa: B023
+                return (label[a] != label[b]) & (low + 1e-9 >= similarity * high)  # noqa: B023
 
-            out_a, out_b = [], []
-            for a, b in _candidates(starts, cells, _numbers(batch.column("fp")), batch.column("chunk").to_numpy(), distance, bits, tables):
+            for a, b in _candidates(cells, distance, masks, apart):
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    if top(i) != top(j) and alike(sets[i], sets[j], similarity):
-                        root[top(j)] = top(i)
-                        out_a.append(i)
-                        out_b.append(j)
-            if out_a:
-                yield pa.record_batch([batch.column("fp").take(pa.array(out_a)), batch.column("fp").take(pa.array(out_b))], names=["a", "b"])
+                    if label[i] != label[j] and alike(sets[i], sets[j], similarity):
+                        cell = slice(cells.starts[cells.cell[i]], cells.starts[cells.cell[i]] + cells.sizes[cells.cell[i]])
+                        label[cell][label[cell] == label[j]] = label[i]
+                        out.append((i, j))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.record_batch([batch.column("fp").take(pa.array(a)), batch.column("fp").take(pa.array(b))], names=["a", "b"])
 
     return run
 
@@ -314,25 +354,22 @@ def _near(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
-def close_in_cells(starts: np.ndarray, cells: np.ndarray, prints: np.ndarray, chunk: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def close_in_cells(cells: _Cells, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of links: all in small cells, a spanning forest in others."""
-    sizes = np.diff(np.r_[starts, len(cells)])
-    cell = np.repeat(np.arange(len(starts)), sizes)
-    small = (sizes <= SMALL)[cell]
-    out_a, out_b = [], []
-    for shift in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=1)))):
-        i = np.flatnonzero((cell[shift:] == cell[:-shift]) & small[shift:])
+    prints, small = cells.prints, (cells.sizes <= SMALL) & ~cells.mixed
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for shift in range(1, min(SMALL, int(cells.sizes[small].max(initial=1)))):
+        i = np.flatnonzero((cells.cell[shift:] == cells.cell[:-shift]) & small[cells.cell[shift:]])
         if len(i):
             near = i[_near(prints[i], prints[i + shift], distance)]
             out_a.append(near)
             out_b.append(near + shift)
-    for at in np.flatnonzero(sizes > SMALL):
-        rows = np.arange(starts[at], starts[at] + sizes[at])
-        x, y = cells[starts[at], 2:]
-        a, b = _forest(prints[rows], None if x == y else chunk[rows] == x, distance)
+    for at in np.flatnonzero(~small):
+        rows = np.arange(cells.starts[at], cells.starts[at] + cells.sizes[at])
+        a, b = _forest(prints[rows], ~cells.second[rows] if cells.mixed[at] else None, distance)
         out_a.append(rows[a])
         out_b.append(rows[b])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _forest(prints: np.ndarray, first: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,33 +414,36 @@ def near_classes(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFram
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 3.0) -> DataFrame:
+#: The probability that a pair at exactly the similarity shares a key, and how many standard deviations beyond the expected
+#: number of unequal bits a candidate may have.
+RECALL, SLACK = 0.96, 3.0
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, slack: float = SLACK) -> DataFrame:
     """(doc_id, component_id): classes of texts, each by its smallest doc_id, as of ``_row_classes``."""
     found = _row_classes(docs, words, similarity, recall, slack)
     return found.select("doc_id.doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
-def _row_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, slack: float = 3.0) -> DataFrame:
+def _row_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, slack: float = SLACK) -> DataFrame:
     """(doc_id, component_id), structs of doc_id and the text's digest tid: classes of texts whose sets of word shingles have a Jaccard ``similarity`` or more.
 
     Wide fingerprints propose pairs: those with unequal bits no more than expected at ``similarity`` plus ``slack``
     standard deviations. The sets themselves decide; only texts that have a candidate are read again for theirs.
     """
-    differ = differing_share(similarity)
-    keys = sampled_keys(differ, recall, docs.count())
-    tables, bits = len(keys), keys[0][1][0][1]
-    lanes = -(-tables * bits // 64)
-    distance = math.floor(64 * lanes * differ + slack * math.sqrt(64 * lanes * differ * (1 - differ)))
+    differ, lanes = differing_share(similarity), WIDE_BITS // 64
+    keys = sampled_keys(differ, recall)
+    distance = math.floor(WIDE_BITS * differ + slack * math.sqrt(WIDE_BITS * differ * (1 - differ)))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tid"))  # of equal ones the texts are equal
     prints = cut(fingerprints(docs.select(key.alias("doc_id"), "text"), words, lanes, distinct=True))
 
     def link(nodes: DataFrame, _: int) -> DataFrame:
-        promising = cut(_in_cells(nodes, keys, _promising(distance, bits, tables), "fp binary, n smallint, v long, x int, y int, chunk int"))
+        promising = cut(_in_cells(nodes, keys, _promising(keys, distance, lanes), "k long, c long, fp binary"))
         owners = nodes.join(promising.select("fp").distinct(), "fp").select("least.tid").distinct()
         texts = docs.join(owners, F.xxhash64(docs["text"]) == owners["tid"], "left_semi")
         sets = cut(mapped(texts.select("text"), _sets(words, lanes), "fp binary, shingles binary").dropDuplicates(["fp"]))
-        met = promising.join(sets, "fp").repartition("n", "v", "x", "y").sortWithinPartitions("n", "v", "x", "y")
-        return mapped(met, _exact(distance, bits, tables, similarity), "a binary, b binary")
+        met = promising.join(sets, "fp").withColumn("cell", F.shiftright("c", 1)).repartition("k", "cell").sortWithinPartitions("k", "c").drop("cell")
+        return mapped(met, _exact(keys, distance, lanes, similarity), "a binary, b binary")
 
     return classes(prints, link).select("doc_id", "component_id")
 

@@ -46,13 +46,49 @@ def test_no_pair_misses_its_blocks():
         for _ in range(50):
             a = random.getrandbits(64)
             b = a ^ sum(1 << i for i in random.sample(range(64), 4))
-            cut = lambda x, ranges: [(x >> (64 - s - n)) & ((1 << n) - 1) for s, n in ranges]
-            assert any(cut(a, ranges) == cut(b, ranges) for _, ranges in keys)
+            values = simhash.key_values(np.array([[a], [b]], np.uint64), keys)
+            assert (values[0] == values[1]).any()
+
+
+def test_a_pair_at_the_similarity_shares_a_key_with_the_recall():
+    g = np.random.default_rng(3)
+    differ = simhash.differing_share(0.8)
+    keys = simhash.sampled_keys(differ, simhash.RECALL)
+    a = g.integers(0, 1 << 63, (4000, 4), dtype=np.uint64)
+    flips = np.packbits(g.random((4000, 256)) < differ, axis=1).view(">u8").astype(np.uint64)
+    shared = simhash.key_values(a, keys) == simhash.key_values(a ^ flips, keys)
+    assert abs(shared.any(1).mean() - simhash.RECALL) < 0.015
+    masks = simhash._masks(keys, 4)
+    first = shared.argmax(1)
+    assert simhash.first_shared(flips, first, masks)[shared.any(1)].all()
+    later = np.array([np.flatnonzero(row)[-1] for row in shared[shared.sum(1) > 1]])
+    assert not simhash.first_shared(flips[shared.sum(1) > 1], later, masks).any()
+
+
+def test_pairs_link_alike_in_tables_of_any_size(docs_of, monkeypatch):
+    """The same pairs, alone and among many others, and with the others' keys in many cells."""
+    g = random.Random(21)
+    word = lambda: "".join(g.choices("abcdefghijklm", k=6))
+    pairs = []
+    for i in range(40):
+        text = [word() for _ in range(150)]
+        w = 4 + i % 20  # similarities from about 0.9 down to about 0.7
+        pairs += [" ".join(text), " ".join(text[:60] + [word() for _ in range(w)] + text[60 + w :])]
+    others = [" ".join(word() for _ in range(g.randint(1, 40))) for _ in range(3000)]
+    classes = lambda *texts: {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs_of(*texts)).collect() if r["doc_id"] < 80}
+    alone = classes(*pairs)
+    assert 15 < sum(k != v for k, v in alone.items()) < 40
+    assert classes(*pairs, *others) == alone
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    near = [f"{t} extra{i}" for i in range(40) for t in (pairs[0],)]
+    assert classes(*pairs, *near) == alone
 
 
 def test_crowded_blocks_keep_all_links(spark, monkeypatch):
     """More nodes in a block than a chunk has: the classes are those of a comparison of all pairs."""
     monkeypatch.setattr(simhash, "CHUNK", 40)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
     random.seed(2)
     seeds = [random.getrandbits(64) for _ in range(6)]
     values = sorted({s ^ sum(1 << i for i in random.sample(range(64), random.randint(0, 5))) for s in seeds for _ in range(60)})
@@ -66,8 +102,7 @@ def test_crowded_blocks_keep_all_links(spark, monkeypatch):
 def test_small_and_large_cells_agree():
     g = np.random.default_rng(0)
     prints = g.integers(0, 4, (200, 2)).astype(np.uint64)
-    cells, chunk = np.zeros((200, 4), np.int64), np.zeros(200, np.int64)
-    a, b = simhash.close_in_cells(np.array([0]), cells, prints, chunk, 1)
+    a, b = simhash.close_in_cells(simhash._Cells(np.zeros(200, np.int64), np.zeros(200, np.int64), prints), 1)
     linked = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 1
     pairs = set(zip(a.tolist(), b.tolist(), strict=True))
     assert len(pairs) < 200 and all(linked(i, j) for i, j in pairs)
