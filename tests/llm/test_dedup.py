@@ -165,7 +165,7 @@ def test_exact_dedup_against_brute_force(docs_of):
     texts = ["a b", "a  b", "a\tb", None, "", "c", "A b", " a b", "c", "a b"]
     norm = [re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for t in texts]
     index = exact_dedup.DigestIndex(docs_of().sparkSession, "t_index_1")
-    got = {r["doc_id"]: r for r in index.add(docs_of(*texts)).collect()}
+    got = {r["doc_id"]: r for r in index.add(docs_of(*texts), "b").collect()}
     for i, t in enumerate(norm):
         same = [j for j, u in enumerate(norm) if u == t]
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (same[0], len(same), i == same[0])
@@ -176,18 +176,54 @@ def test_the_index_remembers_batches(docs_of):
     index = exact_dedup.DigestIndex(docs_of().sparkSession, "t_index_2", buckets=3)
     first = docs_of(rows=[(10, "x", "", "", 1), (11, "y", "", "", 1)])
     second = docs_of(rows=[(1, "x", "", "", 1), (2, "z", "", "", 1), (3, "z", "", "", 1)])
-    assert {r["doc_id"]: r["kept"] for r in index.add(first).collect()} == {10: True, 11: True}
-    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.add(second).collect()} == {1: (10, False), 2: (2, True), 3: (2, False)}
+    assert {r["doc_id"]: r["kept"] for r in index.add(first, "b1").collect()} == {10: True, 11: True}
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.add(second, "b2").collect()} == {1: (10, False), 2: (2, True), 3: (2, False)}
     assert docs_of().sparkSession.table("t_index_2").count() == 3
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_parts_give_the_same_rows_through_the_anti_join(spark, docs_of, parts):
+    g = random.Random(16)
+    rows = [(i, f"text {g.randint(0, 60)}", "", "", 1) for i in g.sample(range(1000), 300)]
+    index = exact_dedup.DigestIndex(spark, f"t_index_parts_{parts}", buckets=3)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.add(docs_of(rows=rows), "b", parts).collect()}
+    for i, text, *_ in rows:
+        same = [j for j, t, *_ in rows if t == text]
+        assert got[i] == (min(same), len(same), i == min(same))
+    assert spark.table(index.name).count() == len({t for _, t, *_ in rows})
+
+
+def test_a_batch_added_again_gives_its_rows_again(spark, docs_of):
+    index = exact_dedup.DigestIndex(spark, "t_index_again", buckets=3)
+    docs = docs_of(*(f"text {i % 7}" for i in range(40)))
+    index.add(docs_of("text 3", "other"), "before")
+    once = sorted(map(tuple, index.add(docs, "b").drop("uid").collect()))
+    assert sorted(map(tuple, index.add(docs, "b").drop("uid").collect())) == once
+    assert sum(r[3] for r in once) == 6 and spark.table("t_index_again").count() == 8
+
+
+def test_an_index_outlives_its_session(spark, docs_of, tmp_path):
+    place = f"file://{tmp_path}/index"
+    exact_dedup.DigestIndex(spark, "t_index_lasting", buckets=3, path=place).add(docs_of("a", "b"), "b1")
+    spark.sql("DROP TABLE t_index_lasting")  # as in a session with another catalog
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        index = exact_dedup.DigestIndex(spark, "t_index_lasting", path=place)
+        assert index.buckets == 3
+        got = {r["doc_id"]: r["kept"] for r in index.add(docs_of(rows=[(7, "b", "", "", 1), (8, "c", "", "", 1)]), "b2").collect()}
+        assert got == {7: False, 8: True}
+        assert exact_dedup.DigestIndex(spark, "t_index_lasting").buckets == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_exact_dedup_odd_tables(spark, odd, empty):
     index = exact_dedup.DigestIndex(spark, "t_index_3")
-    got = index.add(odd).collect()
+    got = index.add(odd, "b", parts=3).collect()
     assert len(got) == 11 and sum(r["kept"] for r in got) == 6
     kept = exact_dedup.keep_first(odd)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "1", "4", "5", "6", "None"]
-    assert exact_dedup.keep_first(empty).count() == 0 and exact_dedup.DigestIndex(spark, "t_index_4").add(empty).count() == 0
+    assert exact_dedup.keep_first(empty).count() == 0 and exact_dedup.DigestIndex(spark, "t_index_4").add(empty, "b").count() == 0
 
 
 def brute_jump(key, shards):
