@@ -2,22 +2,27 @@
 
 The CGK embedding (Chakraborty, Goldenberg and Koucky) walks along a string: at step t it writes the symbol it stands on
 and moves on if a random bit of (t, symbol) says so. Strings at a small edit distance mostly fall back into step, so their
-walks agree at most places. Symbols are words here. From every word of a text a walk starts, as from every word of an item
-that has a whole window before the item's end; a repetition samples some steps of the walk, and equal samples make a
-candidate. Windows have the item's size up to ``WINDOW`` words; a longer item has many, so that edits must hit each
-of them, in each repetition, before a step in which it is missed. Each candidate is verified by the edit distance in words
-between the item and the best-fitting place of the text there.
+walks agree at most places: edits become a Hamming distance. Symbols are words here. A repetition samples some steps of the
+walk; equal samples make a candidate. A walk starts from every word of a text and from every word of an item, and never leaves
+the item. Its length goes with the item's: repetitions belong to classes of item lengths, and longer items have longer
+walks besides the short ones. How many repetitions a class has is computed, by trying its walks on strings with as many
+edits as are allowed, so that each length reaches ``RECALL``; copies without an edit always have a walk in common. Each
+candidate is verified by the edit distance in words between the item and the best-fitting place of the text there.
+
+A text's walks are given up as soon as the samples so far are no item's, so most are a step or two long.
 
 Defined results: a null text counts as empty; an item without words matches nothing, and is reported by ``empty_items``.
 Texts are read whole; rows are matched each, repeated ones alike; a null doc_id stays null, and so does a null item_id. An
-empty table of either kind gives no rows. Other columns are not looked at, whatever their names.
+empty table of either kind gives no rows. Other columns are not looked at, whatever their names. Verification holds a bounded
+number of words at once, however long an item is.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,115 +33,179 @@ from pyspark.sql import functions as F
 from quantaloom.llm._common import mapped, slices, table, texts_of
 from quantaloom.llm._words import Words, grouped, mix, words_of
 
-#: Window in words, steps of its walk, steps sampled: by the least number of words an item must have, largest first.
-CLASSES = ((8, 16, 5), (4, 6, 3), (1, 1, 1))
-REPETITIONS = 4
-#: Stands for the repetition in the index of plain pieces.
-PIECES = -1
-#: Share of an item's words that edits may come to.
-MAX_EDITS = 0.2
-#: Items that a worker holds at once; more are searched in blocks of so many.
-ITEMS_AT_ONCE = 20_000
+@dataclass(frozen=True)
+class Class:
+    """Repetitions for items of ``least`` to ``most`` words: steps of a walk, steps sampled, and how many words they must read."""
+
+    least: int
+    most: int
+    steps: int
+    samples: int
+    words: int
+
+
+#: Items of at most four words have no edits. The last classes are the longer walks, which add to those before them.
+CLASSES = (Class(1, 1, 1, 1, 1), Class(2, 4, 2, 2, 1), Class(5, 9, 3, 3, 2), Class(10, 1 << 60, 6, 4, 3))
+LONG = tuple(Class(2 * n, 1 << 60, 2 * n, 5, 4) for n in (8, 16, 32, 64))
+#: Share of an item's words that edits may come to, and the share of items with so many edits that are to be found.
+MAX_EDITS, RECALL = 0.2, 0.99
+#: Items that a worker holds at once; more are searched in blocks of so many. Words that verification holds at once.
+ITEMS_AT_ONCE, WORDS_AT_ONCE = 20_000, 1 << 21
 _SEED = 20_240_229
 
 
-@functools.lru_cache(maxsize=64)
-def _steps(size: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers of each step, whose product with a symbol gives its random bit; and the sampled steps."""
-    walk, samples = next((w, k) for n, w, k in CLASSES if n == size)
-    g = np.random.default_rng([_SEED, size, repetition])
-    odd = g.integers(0, 1 << 63, walk, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd, np.sort(g.permutation(walk)[:samples])
+@functools.lru_cache(maxsize=256)
+def _walk(of: Class, repetition: int) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Odd multipliers of each step, whose product with a symbol gives its random bit; and the sampled steps, 0 the first."""
+    g = np.random.default_rng([_SEED, of.steps, of.samples, repetition])
+    odd = g.integers(0, 1 << 63, of.steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, (0, *sorted((g.permutation(of.steps - 1)[: of.samples - 1] + 1).tolist()))
 
 
-def embed(symbols: np.ndarray, starts: np.ndarray, size: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed samples of the walks from ``starts``, and the last place that each has read. Beyond the end all is 0."""
-    odd, sampled = _steps(size, repetition)
-    padded = np.r_[symbols, np.zeros(len(odd) + 1, np.uint64)]
-    at, key, last = starts.copy(), np.zeros(len(starts), np.uint64), starts
-    picked = set(sampled.tolist())
-    for step in range(int(sampled[-1]) + 1):
+def embed(symbols: np.ndarray, starts: np.ndarray, of: Class, repetition: int) -> Iterator[tuple[np.ndarray, np.ndarray, Callable]]:
+    """The walks from ``starts``, at each sampled step: the hash of the samples so far and the place of each walk. Walks that
+    ``keep`` (a third value, to call with a mask) leaves out go no further. Beyond the end all is 0."""
+    odd, sampled = _walk(of, repetition)
+    padded = np.r_[symbols, np.zeros(of.steps + 1, np.uint64)]
+    at, key = starts, np.full(len(starts), repetition, np.uint64)
+    mask: list[np.ndarray] = []
+    for step in range(sampled[-1] + 1):
         symbol = padded[at]
-        if step in picked:
-            key = key * np.uint64(0x9E3779B97F4A7C15) + symbol
-            last = at
+        if step in sampled:
+            key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+            yield mix(key), at, mask.append
+            if mask:
+                keep = mask.pop()
+                at, key, symbol = at[keep], key[keep], symbol[keep]
         at = at + ((symbol * odd[step]) >> np.uint64(63)).astype(np.int64)
-    return mix(key + np.uint64(repetition)), last
 
 
 @dataclass
-class Index:
-    """Items and, by class and repetition, the sorted keys of their windows with item and first word of each.
+class Walks:
+    """A repetition's walks over the items: bits of the hashes after each sample, then the sorted whole keys with item and first word."""
 
-    Pieces of n words are under (n, ``PIECES``)."""
-
-    ids: list
-    words: list[np.ndarray]
-    keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    seen: list[np.ndarray]
+    keys: np.ndarray
+    items: np.ndarray
+    starts: np.ndarray
+    shift: int
 
 
-def runs(symbols: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The hashes of the ``size`` words from ``starts``. Beyond the end all is 0."""
-    padded, key = np.r_[symbols, np.zeros(size, np.uint64)], np.zeros(len(starts), np.uint64)
-    for step in range(size):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + padded[starts + step]
-    return mix(key)
-
+@dataclass
+class Index:
+    """Items, and their walks by class and repetition."""
 
-def _sorted(found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    found.sort()
-    key = np.array([f[0] for f in found], np.uint64)
-    rare = np.zeros(1 << 18, bool)
-    rare[(key >> np.uint64(46)).astype(np.int64)] = True
-    return key, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64), rare
+    ids: list
+    words: list[np.ndarray]
+    walks: dict[tuple[Class, int], Walks]
+
+
+def _walks(items: list[np.ndarray], own: list[int], of: Class, repetition: int) -> Walks:
+    """The walks from every word of ``own`` items; one that leaves its item, or reads too few words, says too little and is left out."""
+    size = np.array([len(items[i]) for i in own])
+    ends = np.cumsum(size)
+    symbols = np.concatenate([items[i] for i in own])
+    begin, end = np.repeat(ends - size, size), np.repeat(ends, size)
+    starts = np.arange(len(symbols))
+    hashes, read, last, before = [], np.zeros(len(starts), np.int64), starts, np.full(len(starts), -1)
+    for found, at, _ in embed(symbols, starts, of, repetition):
+        hashes.append(found)
+        read += at != before
+        before = last = at
+    # A copy without edits must be found: of each item the first walk is kept, however few words it reads.
+    fit = (last < end) & ((read >= of.words) | (starts == begin))
+    shift = 64 - max(18, min(24, int(fit.sum()).bit_length() + 3))
+    seen = []
+    for found in hashes:
+        bits = np.zeros(1 << (64 - shift), bool)
+        bits[(found[fit] >> np.uint64(shift)).astype(np.int64)] = True
+        seen.append(bits)
+    order = np.argsort(hashes[-1][fit], kind="stable")
+    item = np.repeat(np.array(own), size)
+    return Walks(seen, hashes[-1][fit][order], item[fit][order], (starts - begin)[fit][order], shift)
+
+
+@functools.lru_cache(maxsize=32)
+def repetitions(of: Class, max_edits: float, recall: float = RECALL) -> int:
+    """How many repetitions find items of the class that have as many edits as are allowed with ``recall``.
+
+    Tried on items of random words, for several lengths of the class, with edits spread evenly and at random places; the
+    length and kind with the least recall count.
+    """
+    lengths = sorted({min(of.most, of.least + n) for n in (0, 1, 2, 3, 4, 5, 6, 10, 20)})
+    if not any(int(max_edits * n) for n in lengths):
+        return 1
+    g = np.random.default_rng(_SEED)
+    items, texts, group = [], [], []
+    for n in lengths:
+        for i in range(200):
+            item = g.integers(1, 1 << 62, n, dtype=np.uint64)
+            items.append(item)
+            texts.append(edited(g, item, int(max_edits * n), i % 2 == 0))
+            group.append(2 * n + i % 2)
+    gap = [g.integers(1, 1 << 62, 2 * of.steps, dtype=np.uint64) for _ in items]
+    symbols = np.concatenate([part for pair in zip(gap, texts, strict=True) for part in pair])
+    owner = np.repeat(np.arange(len(items)), [len(a) + len(b) for a, b in zip(gap, texts, strict=True)])
+    met, group = np.zeros(len(items), bool), np.array(group)
+    for repetition in itertools.count():
+        walks = _walks(items, list(range(len(items))), of, repetition)
+        anchor, row = _met(walks, symbols, of, repetition)
+        same = owner[anchor] == walks.items[row]
+        met[owner[anchor[same]]] = True
+        if min(met[group == n].mean() for n in np.unique(group)) >= recall or repetition == 31:
+            return repetition + 1
+
+
+def edited(g: np.random.Generator, item: np.ndarray, edits: int, evenly: bool) -> np.ndarray:
+    """The item with so many words replaced at even distances, or replaced, dropped or put in at random places."""
+    out, n = item.tolist(), len(item)
+    for k in range(edits):
+        word = int(g.integers(1, 1 << 62))
+        if evenly:
+            out[(2 * k + 1) * n // (2 * edits)] = word
+            continue
+        at, kind = int(g.integers(len(out))), g.random()
+        out[at : at + 1] = [word] if kind < 0.4 else [] if kind < 0.7 else [out[at], word]
+    return np.array(out, np.uint64)
 
 
 def build_index(ids: list, texts: list[str], max_edits: float = MAX_EDITS) -> Index:
     words = words_of(texts)
-    bounds = words.bounds()
-    items = [words.hash[a:b] for a, b in itertools.pairwise(bounds.tolist())]
-    keys = {}
-    for size, _, _ in CLASSES:
-        larger = min((n for n, _, _ in CLASSES if n > size), default=1 << 60)
-        own = [i for i, w in enumerate(items) if size <= len(w) < larger]
-        for repetition in range(REPETITIONS if own else 0):
-            found: list[tuple[int, int, int]] = []
-            for i in own:
-                key, last = embed(items[i], np.arange(len(items[i])), size, repetition)
-                # A walk that has left the item says nothing of what follows it in a text.
-                found += [(int(k), i, at) for at, (k, end) in enumerate(zip(key, last, strict=True)) if end < len(items[i])]
-            keys[size, repetition] = _sorted(found)
-    pieces: dict[int, list[tuple[int, int, int]]] = {}
-    for i, item in enumerate(items):
-        if len(item):
-            n = int(max_edits * len(item)) + 1
-            size = max(1, len(item) // n)
-            starts = np.arange(min(n, len(item))) * size
-            pieces.setdefault(size, []).extend((k, i, at) for k, at in zip(runs(item, starts, size).tolist(), starts.tolist(), strict=True))
-    return Index(ids, items, keys | {(size, PIECES): _sorted(found) for size, found in pieces.items()})
+    items = [words.hash[a:b] for a, b in itertools.pairwise(words.bounds().tolist())]
+    walks = {}
+    for of in (*CLASSES, *LONG):
+        own = [i for i, w in enumerate(items) if of.least <= len(w) <= of.most]
+        for repetition in range((2 if of in LONG else repetitions(of, max_edits)) if own else 0):
+            walks[of, repetition] = _walks(items, own, of, repetition)
+    return Index(ids, items, walks)
+
+
+def _met(walks: Walks, symbols: np.ndarray, of: Class, repetition: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, row of the walks): where a walk of ``symbols`` has all its samples in common with an item's."""
+    starts = np.arange(len(symbols))
+    found = np.empty(0, np.uint64)
+    for seen, (found, _, keep) in zip(walks.seen, embed(symbols, starts, of, repetition), strict=True):
+        mask = seen[(found >> np.uint64(walks.shift)).astype(np.int64)]
+        keep(mask)
+        starts, found = starts[mask], found[mask]
+    low, high = np.searchsorted(walks.keys, found), np.searchsorted(walks.keys, found, "right")
+    many = high - low
+    rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(starts, many), rows
 
 
 def candidates(index: Index, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, place at which the item would begin), distinct, for all walks that have a sample in common with an item's, and all
-    equal pieces."""
-    out: list[np.ndarray] = []
-    starts = np.arange(len(words.hash))
-    for (size, repetition), (keys, items, offsets, rare) in index.keys.items():
-        found = runs(words.hash, starts, size) if repetition == PIECES else embed(words.hash, starts, size, repetition)[0]
-        at = np.flatnonzero(rare[(found >> np.uint64(46)).astype(np.int64)])
-        low, high = np.searchsorted(keys, found[at]), np.searchsorted(keys, found[at], "right")
-        many = high - low
-        if not many.sum():
-            continue
-        rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)
-        anchor = np.repeat(at, many)
-        out.append(np.stack([words.doc[anchor], items[rows], anchor - offsets[rows]]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    """(text, item, place at which the item would begin), distinct, for all walks that have their samples in common with an item's."""
+    out: list[np.ndarray] = [np.empty((3, 0), np.int64)]
+    for (of, repetition), walks in index.walks.items():
+        anchor, rows = _met(walks, words.hash, of, repetition)
+        if len(rows):
+            out.append(np.stack([words.doc[anchor], walks.items[rows], anchor - walks.starts[rows]]))
     doc, item, start = np.concatenate(out, 1)
     order = np.lexsort((start, item, doc))
     doc, item, start = doc[order], item[order], start[order]
-    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0)]
+    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 0)][: len(doc)]
     return doc[new], item[new], start[new]
 
 
@@ -163,6 +232,28 @@ def fit(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return cost[at, end], begin[at, end], end
 
 
+def _equal(symbols: np.ndarray, at: np.ndarray, inside: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """At which places ``wanted`` stands word for word."""
+    left = np.flatnonzero(inside)
+    for k, word in enumerate(wanted):
+        if not len(left):
+            break
+        left = left[symbols[at[left] + k] == word]
+    same = np.zeros(len(at), bool)
+    same[left] = True
+    return same
+
+
+def _run_starts(doc: np.ndarray, at: np.ndarray, spread: int) -> np.ndarray:
+    """The first of each run of places of one text that lie within ``spread`` of the first; ``at`` rises within a text."""
+    out, i = [], 0
+    while i < len(at):
+        out.append(i)
+        end = int(np.searchsorted(doc, doc[i], "right"))
+        i += int(np.searchsorted(at[i:end], at[i] + spread, "right"))
+    return np.array(out, np.int64)
+
+
 def matches(index: Index, words: Words, max_edits: float = MAX_EDITS) -> dict[int, list[tuple[int, int, int, int]]]:
     """By text: (item, edits, first word, end) of each verified place, by item, then edits, then place; overlapping ones once."""
     doc, item, start = candidates(index, words)
@@ -177,32 +268,42 @@ def matches(index: Index, words: Words, max_edits: float = MAX_EDITS) -> dict[in
         d, at = doc[own], start[own]
         low, high = bounds[d], bounds[d + 1]
         inside = (at >= low) & (at + n <= high)
-        same = inside.copy()
-        same[inside] = (words.hash[at[inside][:, None] + np.arange(n)] == wanted).all(1)
+        same = _equal(words.hash, at, inside, wanted)
         found += [(x, i, 0, y, y + n) for x, y in zip(d[same].tolist(), at[same].tolist(), strict=True)]
         if not most:
             continue
-        # The words around each other place; none beyond its text.
-        d, at, low, high = (x[~same] for x in (d, at, low, high))
-        for some in np.array_split(np.arange(len(d)), max(1, len(d) // 2048)):
-            where = at[some][:, None] + np.arange(-most, n + most)
+        # Places near each other are one: of the words around them the best-fitting part is taken. Those near a whole copy are it.
+        near_copy = np.zeros(len(at), bool)
+        if same.any():
+            copies = at[same]
+            after = np.searchsorted(copies, at)
+            near_copy = np.minimum(np.abs(at - copies[np.maximum(after - 1, 0)]), np.abs(at - copies[np.minimum(after, len(copies) - 1)])) <= most
+        d, at, low, high = (x[~near_copy] for x in (d, at, low, high))
+        first = _run_starts(d, at, most)
+        d, at, low, high = d[first], at[first], low[first], high[first]
+        width = n + 3 * most
+        for some in np.array_split(np.arange(len(d)), max(1, len(d) * width // WORDS_AT_ONCE)):
+            where = at[some][:, None] + np.arange(-most, n + 2 * most)
             where = np.where((where >= low[some][:, None]) & (where < high[some][:, None]), where, len(words.hash))
             around = padded[where]
             # As many words as edits leave must be words of the item.
             likely = np.isin(around, wanted).sum(1) >= n - most
             if not likely.any():
                 continue
-            edits, first, end = fit(wanted, around[likely])
-            first, end = first + at[some][likely] - most, end + at[some][likely] - most
-            good = (edits <= most) & (end > first)
-            clip = np.maximum(first, low[some][likely]), np.minimum(end, high[some][likely])
+            edits, begin, end = fit(wanted, around[likely])
+            begin, end = begin + at[some][likely] - most, end + at[some][likely] - most
+            good = (edits <= most) & (end > begin)
+            clip = np.maximum(begin, low[some][likely]), np.minimum(end, high[some][likely])
             found += [(x, i, e, y, z) for x, e, y, z in zip(d[some][likely][good].tolist(), edits[good].tolist(), clip[0][good].tolist(), clip[1][good].tolist(), strict=True)]
     out: dict[int, list[tuple[int, int, int, int]]] = {}
-    for d, i, edits, first, end in sorted(found):
-        places = out.setdefault(d, [])
-        first, end = first - int(bounds[d]), end - int(bounds[d])
-        if not any(o[0] == i and o[2] < end and first < o[3] for o in places):
-            places.append((i, edits, first, end))
+    for (d, i), group in itertools.groupby(sorted(found), key=lambda m: m[:2]):
+        taken: list[tuple[int, int]] = []  # places that do not overlap, rising
+        for _, _, edits, first, end in group:
+            first, end = first - int(bounds[d]), end - int(bounds[d])
+            at = bisect.bisect_left(taken, (end, -1))  # those before begin before this one ends
+            if not at or taken[at - 1][1] <= first:
+                taken.insert(at, (first, end))
+                out.setdefault(d, []).append((i, edits, first, end))
     return out
 
 
