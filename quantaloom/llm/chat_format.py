@@ -1,19 +1,21 @@
 """Chat formatting with cumulative-snapshot collapse.
 
-Logs often hold a conversation several times, each time with more turns. A rolling digest of each conversation's turns
-names every prefix of it. Of equal conversations the one with the smallest conv_id is taken; a conversation whose whole digest
-is a proper prefix's digest of a longer one is left out by an anti-join; what remains is rendered with role marks, and the
-character spans of the assistant's turns, on which a loss may be taken, are listed.
+Logs often hold a conversation several times, each time with more turns. A rolling hash over each conversation's turns
+names every prefix of it. Of equal conversations the one with the smallest conv_id is taken; a conversation whose whole hash
+is a proper prefix's hash of a longer one is left out by an anti-join; what remains is rendered with role marks, and the
+character spans of the assistant's turns, on which a loss may be taken, are listed. Hashes, places and spans are running
+totals over a conversation's ordered turns, so the work is linear in them, however many one conversation has.
 
 Defined results: turns are ordered by turn, then role, then text (nulls first); a null role or text counts as
 empty, a null turn comes first. Rows equal in all columns are separate turns. Rows with a null conv_id belong to no
-conversation and are left out. Empty texts are rendered as turns without text. An empty table gives no rows. Other columns
-are not looked at, whatever their names.
+conversation and are left out. Empty texts are rendered as turns without text; texts are taken whole, and a conversation
+is rendered to one row, so its turns must fit in one. An empty table gives no rows. Other columns are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantaloom.llm._common import cut, table
@@ -22,60 +24,41 @@ from quantaloom.llm._common import cut, table
 BEGIN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def turn_digest(role: Column, text: Column) -> Column:
-    """Of a turn: its role's and its text's digests, so that no two turns can be cut differently to the same bytes."""
-    return F.md5(F.concat(F.md5(role.cast("binary")), F.md5(text.cast("binary"))).cast("binary"))
-
-
-def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, prefixes): ordered turns, and the rolling digest after each.
-
-    A conversation is rendered to one row, so its turns must fit in one.
-    """
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, i (from 1), n (turns of the conversation), role, text, h1, h2 (hash of the turns up to here), at (where the
+    rendered turn begins, in characters)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.where("conv_id IS NOT NULL").select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
-    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
-
-    def step(acc: Column, t: Column) -> Column:
-        now = F.md5(F.concat(acc["last"], turn_digest(t["role"], t["text"])).cast("binary"))
-        return F.struct(now.alias("last"), F.array_append(acc["all"], now).alias("all"))
-
-    return listed.withColumn("prefixes", F.aggregate("turns", start, step, lambda acc: acc["all"]))
-
-
-def maximal(found: DataFrame) -> DataFrame:
-    """(conv_id, copies) of the conversations that stay, from a table of (conv_id, prefixes): no copies, no prefixes."""
-    whole = found.select("conv_id", F.element_at("prefixes", -1).alias("digest"))
-    one = whole.groupBy("digest").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
-    shorter = found.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("digest")).distinct()
-    return one.join(shorter, "digest", "left_anti").select("conv_id", "copies")
-
-
-def render(turns: Column) -> Column:
-    """The turns of a conversation as one text."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit(MIDDLE), t["text"], F.lit(END))), "")
-
-
-def reply_spans(turns: Column) -> Column:
-    """(first, end) of each assistant turn's text in the rendered conversation, in characters from 0."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
+    rows = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"i": F.row_number().over(by), "n": F.count(F.lit(1)).over(Window.partitionBy("conv_id"))})
+    # A turn's hash has its place and the digests of both parts, so no two lists of turns are cut to the same bytes.
+    parts = (F.md5(F.col("role").cast("binary")), F.md5(F.col("text").cast("binary")))
+    size = F.length("role") + F.length("text") + F.lit(len(BEGIN) + len(MIDDLE) + len(END))
+    rows = rows.withColumns({"t1": F.xxhash64(F.lit(1), "i", *parts), "t2": F.xxhash64(F.lit(2), *parts, "i"), "size": size})
+    rows = rows.withColumns({"h1": F.bit_xor("t1").over(so_far), "h2": F.bit_xor("t2").over(so_far), "at": F.sum("size").over(so_far) - F.col("size")})
+    return rows.select("conv_id", "i", "n", "role", "text", "h1", "h2", "at")
 
-    def step(acc: Column, t: Column) -> Column:
-        first = acc["at"] + F.length(t["role"]) + F.lit(len(BEGIN) + len(MIDDLE))
-        end = first + F.length(t["text"])
-        spans = F.when(t["role"] == "assistant", F.array_append(acc["spans"], F.struct(first.alias("first"), end.alias("end")))).otherwise(acc["spans"])
-        return F.struct((end + F.lit(len(END))).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["spans"])
+def maximal(rows: DataFrame) -> DataFrame:
+    """(conv_id, copies) of the conversations that stay, from a table of ordered turns: no copies, no prefixes."""
+    whole = rows.where("i = n").groupBy("h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
+    shorter = rows.where("i < n").select("h1", "h2").distinct()
+    return whole.join(shorter, ["h1", "h2"], "left_anti").select("conv_id", "copies")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, copies, text, reply_spans of each conversation that no other holds whole."""
-    found = cut(conversations(turns))
-    stay = maximal(found.select("conv_id", "prefixes"))
-    out = found.join(stay, "conv_id")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "copies", render(F.col("turns")).alias("text"), reply_spans(F.col("turns")).alias("reply_spans"))
+    """conv_id, n_turns, copies, text, reply_spans (first and end character of each assistant turn's text, from 0) of each
+    conversation that no other holds whole."""
+    rows = cut(ordered_turns(turns))
+    rendered = F.concat(F.lit(BEGIN), F.col("role"), F.lit(MIDDLE), F.col("text"), F.lit(END))
+    first = F.col("at") + F.length("role") + F.lit(len(BEGIN) + len(MIDDLE))
+    span = F.struct(first.cast("int").alias("first"), (first + F.length("text")).cast("int").alias("end"))
+    found = rows.join(maximal(rows), "conv_id").groupBy("conv_id", "copies").agg(
+        F.array_sort(F.collect_list(F.struct("i", rendered.alias("text")))).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", span))).alias("reply_spans")
+    )
+    text = F.array_join(F.transform("turns", lambda t: t["text"]), "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "copies", text.alias("text"), "reply_spans")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
