@@ -5,12 +5,14 @@ and end). A text is scored in overlapping windows of ``WINDOW`` words, ``STRIDE`
 score is that of its worst window. Training sees texts with a label only, so windows of a toxic text count at first with
 little weight, then only the text's worst window does.
 
-The sample to learn from is bounded (``MAX_TOXIC`` and ``MAX_CLEAN`` texts, by hash of their id) and taken from rows with
-crc32(doc_id as text) mod 4 other than 2; labels, lang, source and doc_id are no inputs.
+The sample to learn from is bounded (``MAX_TOXIC`` and ``MAX_CLEAN`` texts, by hash of their id, one text an id, none of over
+``MAX_CHARS`` characters) and taken from rows with crc32(doc_id as text) mod 4 other than 2; labels, lang, source and doc_id are
+no inputs. The scale of the scores is set on texts that were not learnt from: a fifth of the sample; of a sample with
+fewer than ``FEW`` toxic texts all, each by a network that did not see it.
 
 Defined results: a null text counts as empty; a text without words scores 0. Rows are scored each, repeated ones alike;
 texts are read whole. Null doc_ids are scored, not held out and never trained on. Without labelled rows of both kinds
-all scores are 0. An empty table gives no rows.
+all scores are 0. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from quantaloom.llm._common import mapped, slices, table, texts_of
 from quantaloom.llm._words import Words, grouped, mix, words_of
 
 #: Bound of the training sample: labelled texts of each kind.
-MAX_TOXIC, MAX_CLEAN = 700, 1300
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 700, 1300, 200_000
+#: Toxic texts of a sample below which its scale is set on all folds; how many folds a large and a small sample has.
+FEW, FOLDS, FOLDS_OF_FEW = 150, 5, 3
 WINDOW, STRIDE = 32, 16
 #: Hash buckets of words and character trigrams; width of their vectors and of each direction's state.
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, STATE = 1 << 14, 1 << 13, 16, 8
@@ -206,10 +210,7 @@ def _part(types: Types, windows: np.ndarray) -> tuple[Types, np.ndarray]:
 
 
 def train(texts: list[str], toxic: list[int]) -> Network | None:
-    """A network learnt from whole texts and their labels; None unless there are both kinds.
-
-    Every fifth text of a kind is left out of the learning and sets the scale of the scores.
-    """
+    """A network learnt from whole texts and their labels; None unless there are both kinds."""
     labels = np.array(toxic)
     if len(set(toxic)) < 2:
         return None
@@ -217,13 +218,29 @@ def train(texts: list[str], toxic: list[int]) -> Network | None:
     types = types_of(words)
     windows, doc = windows_of(words)
     windows = np.r_[types.of, len(types.word)][windows]
-    nth = np.where(labels == 1, np.cumsum(labels == 1), np.cumsum(labels != 1))
-    aside = (nth % 5 == 0)[doc]
+    few = (labels == 1).sum() < FEW
+    fold = np.where(labels == 1, np.cumsum(labels == 1), np.cumsum(labels != 1)) % (FOLDS_OF_FEW if few else FOLDS)
+    logits, net = np.full(len(labels), -np.inf), None
+    for aside in range(FOLDS_OF_FEW if few else 1):
+        net = learn(types, windows, doc, labels, fold != aside)
+        _, worst = _window_logits(net, types, windows, doc, len(labels))
+        logits[fold == aside] = worst[fold == aside]
+    if few:
+        net = learn(types, windows, doc, labels, np.ones(len(labels), bool))
+    judge = np.isfinite(logits)
+    if len(set(labels[judge])) == 2:
+        net.p["scale"] = _scale(logits[judge], labels[judge])
+    return net
+
+
+def learn(types: Types, windows: np.ndarray, doc: np.ndarray, labels: np.ndarray, own: np.ndarray) -> Network:
+    """A network learnt from the texts that are ``own``."""
+    aside = ~own[doc]
     target = labels[doc].astype(np.float32)
     net, g = Network(), np.random.default_rng(SEED)
     learnt = [k for k in net.p if k != "scale"]
     first, second, step = {k: np.zeros_like(net.p[k]) for k in learnt}, {k: np.zeros_like(net.p[k]) for k in learnt}, 0
-    likely = _likely(types, windows, doc, labels, nth % 5 != 0)
+    likely = _likely(types, windows, doc, labels, own)
     # Few texts are gone over more often, up to a number of steps that many texts need as well.
     rounds = max(EPOCHS, min(MAX_ROUNDS, 600 * BATCH // max(1, len(windows))))
     for epoch in range(rounds):
@@ -252,10 +269,6 @@ def train(texts: list[str], toxic: list[int]) -> Network | None:
                 first[k] += 0.1 * (d - first[k])
                 second[k] += 0.01 * (d * d - second[k])
                 net.p[k] -= rate * (first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7) + DECAY * net.p[k])
-    _, worst = _window_logits(net, types, windows, doc, len(labels))
-    judge = (nth % 5 == 0) & np.isfinite(worst)
-    if len(set(labels[judge])) == 2:
-        net.p["scale"] = _scale(worst[judge], labels[judge])
     return net
 
 
@@ -323,9 +336,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[i
     marked = labels.where(learn & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     chosen = marked.withColumn("_by", F.xxhash64("doc_id"))
     some = [chosen.where(F.col("toxic") == kind).orderBy("_by", "doc_id").limit(most) for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
-    return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).where(F.length("text") <= MAX_CHARS).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
+    return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:

@@ -1,8 +1,10 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -97,6 +99,8 @@ def test_training_rows_leave_out_the_held_out(spark):
     texts, toxic = toxicity.training_rows(docs, labels)
     ids = [int(t.split()[1]) for t in texts]
     assert ids == [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2] and toxic == [int(i % 3 == 0) for i in ids]
+    many = docs.unionByName(spark.range(3000).selectExpr("5L AS doc_id", "concat('again ', id) AS text")).unionByName(spark.createDataFrame([(7, "x" * 300_000)], docs.schema))
+    assert len(toxicity.training_rows(many, labels)[0]) == len(ids)  # one text an id, none too long
     assert toxicity.train(["a", "b"], [0, 0]) is None and toxicity.train([], []) is None
 
 
@@ -133,6 +137,27 @@ def test_chats_against_brute_force(spark):
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
+def test_a_conversation_of_many_turns(spark):
+    turns = spark.range(32_000).selectExpr("7L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('said ', id) AS text")
+    began = time.perf_counter()
+    got = chat_format.format_chats(turns.unionByName(turns.where("turn < 31000").withColumn("conv_id", F.lit(8).cast("long")))).collect()
+    assert time.perf_counter() - began < 30
+    assert [(r["conv_id"], r["n_turns"], len(r["reply_spans"])) for r in got] == [(7, 32_000, 16_000)]
+    assert [got[0]["text"][s["first"] : s["end"]] for s in got[0]["reply_spans"][-2:]] == ["said 31997", "said 31999"]
+
+
+def test_the_pipeline_on_odd_and_empty_tables(spark, odd, empty, write_tables, tmp_path):
+    labels = spark.createDataFrame([(0, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(5, "null id here")], "item_id long, text string")
+    path = write_tables(documents=odd, labels=labels, benchmark=benchmark)
+    got = corpus_pipeline.run(spark, path).collect()
+    # Of equal texts one stays; "a  b\tc d e f" (7) is a copy of 0; the row without an id has the item.
+    assert sorted({str(r["doc_id"]) for r in got}) == ["0", "1", "4", "6"] and sum(r["piece"] == 0 for r in got) == 4
+    for name, df in (("documents", empty), ("labels", labels.limit(0)), ("benchmark", benchmark.limit(0))):
+        df.write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_the_pipeline_does_what_its_stages_say(spark, write_tables):
     g = random.Random(11)
     word = lambda: "".join(g.choices("bcdfghjklmnp", k=5))
