@@ -2,6 +2,10 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; what one returns is written as Parquet and read again as the
 docs of the next. All but the last return the columns of documents, and the rows that stay.
+
+Defined results, of each stage as of its operator: a null text counts as empty, scores 0, has no item of the benchmark and is
+packed as one end token. Rows equal but for white space are one; a row with a null doc_id comes after all others there, and
+is no near copy. Texts are taken whole. Empty tables give no rows, and without labels of both kinds no text is rejected.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ merged, and a span is verified by the share of the template's k-grams that it co
 Exact phrases (``PHRASES``) give base labels; verified templates add labels of their own.
 
 Defined results: a null text counts as empty; a text without a hit has no labels, score 0 and null positions; repeated
-rows get equal results, a null doc_id stays null; an empty table gives no rows. Other columns are not looked at.
+rows get equal results, a null doc_id stays null; texts are taken whole; an empty table gives no rows. Other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFr
     length = F.col("last") - F.col("first") + 1
     verified = (F.col("cover") >= MIN_COVER) & (length <= MAX_STRETCH * (F.col("grams") + K - 1))
     found = template_spans(keyed, templates).groupBy("k1", "k2").agg(
-        F.max("cover").alias("best"),
+        # A span that is stretched beyond what verifies counts by as much less.
+        F.max(F.col("cover") * F.least(F.lit(1.0), MAX_STRETCH * (F.col("grams") + K - 1) / length)).alias("best"),
         F.array_sort(F.collect_set(F.when(verified, F.col("label")))).alias("own"),
         F.array_sort(F.collect_list(F.when(verified, F.struct("first", "last", "label")))).alias("spans"),
     )

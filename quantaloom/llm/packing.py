@@ -8,7 +8,7 @@ of the plan covers a whole run of equal sequences. Pieces are numbered within th
 look their place up in the plan.
 
 Defined results: a null or empty text is the end token alone, a piece of length 1. Repeated rows are packed each.
-An empty table gives no rows. Columns other than doc_id and text are not looked at.
+Texts are taken whole, however long. An empty table gives no rows. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ congruential sequence seeded by the key jumps ahead through ever larger shard co
 of shards is the shard. With one shard more, a key either stays or moves to the new shard.
 
 Defined results: a null text has no bytes and the checksum of the empty text. A null doc_id has a key of its own.
-Rows equal in doc_id share a shard and have slots of their own. An empty table gives no rows.
+Rows equal in doc_id share a shard and have slots of their own. Texts are taken whole. An empty table gives no rows.
+Columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     size = (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size")
     placed = docs.select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = cut(placed.select("*", shard_of(F.col("doc_id"), shards).alias("shard"), shard_of(F.col("doc_id"), shards + 1).alias("grown_shard")))
-    out = numbered(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("doc_id"), "slot")
+    # Rows of one doc_id, null ones too, are spread by their texts and sizes as well.
+    out = numbered(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.struct("doc_id", "text_crc32", "size"), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

@@ -126,64 +126,67 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def key_values(prints: np.ndarray, keys: list[Key]) -> np.ndarray:
-    """The value of each key, with its number above it, of each row of fingerprints."""
+def key_values(prints: np.ndarray, keys: list[Key], first: int = 0) -> np.ndarray:
+    """The value of each key, with its number (from ``first``) above it, of each row of fingerprints."""
     bits = np.unpackbits(np.ascontiguousarray(prints.astype(">u8")).view(np.uint8).reshape(len(prints), -1), axis=1)
     out = np.zeros((len(prints), len(keys)), np.int64)
     for n, key in enumerate(keys):
-        value = np.full(len(prints), n, np.int64)
+        value = np.full(len(prints), first + n, np.int64)
         for bit in key:
             value = value << 1 | bits[:, bit]
         out[:, n] = value
     return out
 
 
-def _keyed(nodes: DataFrame, keys: list[Key]) -> DataFrame:
-    """(fp, k): a row for each key of each node."""
+def _keyed(nodes: DataFrame, keys: list[Key], first: int = 0) -> DataFrame:
+    """(fp, label, k): a row for each key of each node (fp, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             if batch.num_rows:
-                values = key_values(_numbers(batch.column("fp")), keys)
+                values = key_values(_numbers(batch.column("fp")), keys, first)
                 ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(keys))
-                yield pa.record_batch([batch.column("fp"), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["fp", "k"])
+                yield pa.record_batch([batch.column("fp"), batch.column("label"), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["fp", "label", "k"])
 
-    return mapped(nodes.select("fp"), run, "fp binary, k array<bigint>").select("fp", F.explode("k").alias("k"))
+    return mapped(nodes.select("fp", "label"), run, "fp binary, label bigint, k array<bigint>").select("fp", "label", F.explode("k").alias("k"))
 
 
 def links(nodes: DataFrame, keys: list[Key], distance: int) -> DataFrame:
     """(a, b): links between fingerprints of ``nodes`` (distinct ``fp``, a written table) at ``distance`` bits or fewer that
     share a key; of each cell a spanning forest."""
-    return _in_cells(nodes, keys, _compare(distance), "a binary, b binary")
+    return _in_cells(nodes.withColumn("label", F.lit(0).cast("long")), keys, _compare(distance), "a binary, b binary")
 
 
 #: A cell within a key: the two chunks that meet, and a last bit: whether the row is of the second.
 _CHUNK_BITS = 21
 
 
-def _in_cells(nodes: DataFrame, keys: list[Key], run: Callable, schema: str) -> DataFrame:
-    """``run`` over the cells of ``nodes``, rows (k, c, fp) sorted by both. Each row is shuffled once, to its key's cell or,
+def _in_cells(nodes: DataFrame, keys: list[Key], run: Callable, schema: str, first: int = 0) -> DataFrame:
+    """``run`` over the cells of ``nodes`` (fp, label), rows (k, c, fp, label) sorted by k and c. Each row is shuffled once, to its key's cell or,
     from a crowded key, to the cells of its chunk."""
     some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0)
     size = F.count(F.lit(1)) * SAMPLE
-    crowded = cut(_keyed(some, keys).groupBy("k").agg(F.ceil(size / CHUNK).cast("int").alias("chunks")).where("chunks > 1"))
-    rows = _keyed(nodes, keys)
+    crowded = cut(_keyed(some, keys, first).groupBy("k").agg(F.ceil(size / CHUNK).cast("int").alias("chunks")).where("chunks > 1"))
+    rows = _keyed(nodes, keys, first)
     if crowded.isEmpty():
-        rows = rows.repartition("k").sortWithinPartitions("k").select("k", F.lit(0).cast("long").alias("c"), "fp")
+        rows = rows.repartition("k").sortWithinPartitions("k").select("k", F.lit(0).cast("long").alias("c"), "fp", "label")
         return mapped(rows, run, schema)
     rows = rows.join(crowded, "k", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", "k"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cell = F.shiftleft(F.least("own", "other").cast("long"), _CHUNK_BITS).bitwiseOR(F.greatest("own", "other").cast("long"))
     second = F.when(F.col("own") > F.col("other"), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    rows = rows.select("k", cell.alias("_cell"), second.alias("_second"), "fp").repartition("k", "_cell")
-    rows = rows.select("k", F.shiftleft("_cell", 1).bitwiseOR(F.col("_second")).alias("c"), "fp").sortWithinPartitions("k", "c")
+    rows = rows.select("k", cell.alias("_cell"), second.alias("_second"), "fp", "label").repartition("k", "_cell")
+    rows = rows.select("k", F.shiftleft("_cell", 1).bitwiseOR(F.col("_second")).alias("c"), "fp", "label").sortWithinPartitions("k", "c")
     return mapped(rows, run, schema)
 
 
 class _Cells:
-    """Rows sorted by cell: where each cell starts, its key's number, whether two chunks meet in it, whose second each row is of."""
+    """Rows sorted by cell: where each cell starts, its key's number, whether two chunks meet in it, whose second each row is of.
 
-    def __init__(self, k: np.ndarray, c: np.ndarray, prints: np.ndarray, key_bits: int = 0) -> None:
+    ``label``: rows of an equal one are known to belong together; 0 stands for none."""
+
+    def __init__(self, k: np.ndarray, c: np.ndarray, prints: np.ndarray, key_bits: int = 0, label: np.ndarray | None = None) -> None:
+        self.label = label
         cell = c >> 1
         self.starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (cell[1:] != cell[:-1])]) if len(k) else np.empty(0, np.int64)
         self.sizes = np.diff(np.r_[self.starts, len(k)])
@@ -251,6 +254,9 @@ def _candidates(cells: _Cells, distance: int, masks: np.ndarray, apart: Callable
     prints = cells.prints
 
     def own(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if cells.label is not None:
+            open_ = (cells.label[a] != cells.label[b]) | (cells.label[a] == 0)
+            a, b = a[open_], b[open_]
         first = first_shared(prints[a] ^ prints[b], cells.key[a], masks)
         return a[first], b[first]
 
@@ -283,8 +289,9 @@ def _promising(keys: list[Key], distance: int, lanes: int) -> Callable[[Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_cells(batches):
             marked = np.zeros(batch.num_rows, bool)
-            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")), key_bits)
-            for a, b in _candidates(cells, distance, masks, lambda a, b: ~(marked[a] & marked[b])):  # noqa: B023
+            label = batch.column("label").to_numpy()
+            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")), key_bits, label)
+            for a, b in _candidates(cells, distance, masks, lambda a, b: ~(marked[a] & marked[b]) & ((label[a] != label[b]) | (label[a] == 0))):  # noqa: B023
                 marked[a] = marked[b] = True
             if marked.any():
                 yield batch.filter(pa.array(marked))
@@ -298,10 +305,13 @@ def _exact(keys: list[Key], distance: int, lanes: int, similarity: float) -> Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_cells(batches):
-            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")), key_bits)
+            label = batch.column("label").to_numpy()
+            cells = _Cells(batch.column("k").to_numpy(), batch.column("c").to_numpy(), _numbers(batch.column("fp")), key_bits, label)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
             size = np.array([len(x) for x in sets])
-            label, out = np.arange(len(sets)), []
+            # Labels of this cell's classes; a row without one is a class of its own.
+            label = np.unique(np.where(label == 0, -1 - np.arange(len(label)), np.abs(label)), return_inverse=True)[1]
+            out = []
 
             def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])  # noqa: B023
@@ -417,6 +427,8 @@ def near_classes(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFram
 #: The probability that a pair at exactly the similarity shares a key, and how many standard deviations beyond the expected
 #: number of unequal bits a candidate may have.
 RECALL, SLACK = 0.96, 3.0
+#: Keys under which groups of copies are joined first, so that their sets are not dealt to all keys.
+FIRST_KEYS = 12
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, slack: float = SLACK) -> DataFrame:
@@ -437,14 +449,22 @@ def _row_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recal
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tid"))  # of equal ones the texts are equal
     prints = cut(fingerprints(docs.select(key.alias("doc_id"), "text"), words, lanes, distinct=True))
 
-    def link(nodes: DataFrame, _: int) -> DataFrame:
-        promising = cut(_in_cells(nodes, keys, _promising(keys, distance, lanes), "k long, c long, fp binary"))
+    def verified(nodes: DataFrame, first: int, last: int) -> DataFrame:
+        """The links under the keys from ``first`` to ``last`` between nodes (fp, least, label) that no label joins."""
+        promising = cut(_in_cells(nodes, keys[first:last], _promising(keys, distance, lanes), "k long, c long, fp binary, label long", first))
         owners = nodes.join(promising.select("fp").distinct(), "fp").select("least.tid").distinct()
         texts = docs.join(owners, F.xxhash64(docs["text"]) == owners["tid"], "left_semi")
         sets = cut(mapped(texts.select("text"), _sets(words, lanes), "fp binary, shingles binary").dropDuplicates(["fp"]))
         met = promising.join(sets, "fp").withColumn("cell", F.shiftright("c", 1)).repartition("k", "cell").sortWithinPartitions("k", "c").drop("cell")
         return mapped(met, _exact(keys, distance, lanes, similarity), "a binary, b binary")
 
+    def link(nodes: DataFrame, _: int) -> DataFrame:
+        # The first keys join most of each group of copies; under the others its members are not compared again.
+        begun = components(verified(nodes.withColumn("label", F.lit(0).cast("long")), 0, FIRST_KEYS))
+        label = F.when(F.col("root").isNotNull(), F.abs(F.xxhash64("root"))).otherwise(F.lit(0).cast("long"))
+        labelled = cut(nodes.join(begun.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", label.alias("label")))
+        return begun.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(labelled, FIRST_KEYS, len(keys)))
+
     return classes(prints, link).select("doc_id", "component_id")
 
 

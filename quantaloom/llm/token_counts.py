@@ -9,7 +9,8 @@ Pieces never hold certain neighbours (for one, a space mark after a letter), so
 texts fall apart there, and the count of each part is kept in a bounded memo.
 
 Defined results: a null text counts as empty, with no tokens; texts of any length are counted whole; repeated rows are
-counted each; a null doc_id stays null; an empty table gives no rows.
+counted each; a null doc_id stays null; an empty table gives no rows; columns other than doc_id and text are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
