@@ -429,6 +429,8 @@ def near_classes(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFram
 RECALL, SLACK = 0.96, 3.0
 #: Keys under which groups of copies are joined first, so that their sets are not dealt to all keys.
 FIRST_KEYS = 12
+#: Texts are found by up to so many 64-bit digests in a broadcast, by more in a shuffle of all texts.
+OWNERS = 1 << 20
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = RECALL, slack: float = SLACK) -> DataFrame:
@@ -452,7 +454,8 @@ def _row_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, recal
     def verified(nodes: DataFrame, first: int, last: int) -> DataFrame:
         """The links under the keys from ``first`` to ``last`` between nodes (fp, least, label) that no label joins."""
         promising = cut(_in_cells(nodes, keys[first:last], _promising(keys, distance, lanes), "k long, c long, fp binary, label long", first))
-        owners = nodes.join(promising.select("fp").distinct(), "fp").select("least.tid").distinct()
+        owners = cut(nodes.join(promising.select("fp").distinct(), "fp").select("least.tid").distinct())
+        owners = F.broadcast(owners) if owners.count() <= OWNERS else owners.hint("merge")
         texts = docs.join(owners, F.xxhash64(docs["text"]) == owners["tid"], "left_semi")
         sets = cut(mapped(texts.select("text"), _sets(words, lanes), "fp binary, shingles binary").dropDuplicates(["fp"]))
         met = promising.join(sets, "fp").withColumn("cell", F.shiftright("c", 1)).repartition("k", "cell").sortWithinPartitions("k", "c").drop("cell")

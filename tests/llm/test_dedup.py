@@ -124,7 +124,9 @@ def test_similar_texts_lose_their_copies(docs_of):
     assert sorted(r["doc_id"] for r in simhash.keep_one(rows).collect()) == list(range(30))
 
 
-def test_the_exact_similarity_decides(docs_of):
+@pytest.mark.parametrize("owners", [simhash.OWNERS, 0])
+def test_the_exact_similarity_decides(docs_of, monkeypatch, owners):
+    monkeypatch.setattr(simhash, "OWNERS", owners)  # by a broadcast, by a shuffle
     """Pairs just below 0.8 stay, which an estimate of the similarity can't tell from those just above."""
     g = random.Random(10)
     word = lambda: "".join(g.choices("abcdefghijklm", k=6))
