@@ -12,9 +12,11 @@ A quote after a letter opens no string, nor does one whose end has a letter afte
 Fixed patterns (assignments by keyword, access key ids, long hexadecimal runs) give the base spans, which always stay.
 
 Defined results: a null text counts as empty; no spans give empty strings and the digest of the empty string; texts
-are scanned whole, in time linear in their length; a value joined from over ``MAX_PIECES`` literals isn't followed through
-further names; repeated rows give equal rows; a null doc_id stays null; an empty table gives no rows; columns other than doc_id
-and text are not looked at, whatever their names.
+are scanned whole, in time linear in their length, times the number of different characters where values are joined through
+many names (not linear: elements at each level of deeply nested brackets, long white space after a tag with a name attribute);
+a value is followed through names however many literals it is joined from: it counts once in a statement that names it more
+than once, and as often as it comes in through other names; repeated rows give equal rows; a null doc_id stays null; an empty
+table gives no rows; columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +45,8 @@ SENSITIVE = {
 }
 MIN_SCORE = 1.3
 MIN_LITERAL = 6
-#: Literals that one value is joined from, at most.
-MAX_PIECES = 256
+#: Characters, at least, from which on the counts of a constant's value are kept, so that they aren't taken again for each use.
+KEPT_FROM = 512
 #: Commands that take a name and a value without a mark; words before or within a value; keys of a pair's name and value.
 SETTERS = {"set", "setenv", "setx", "env"}
 KEYWORDS = {"new", "await", "yield", "return", "if", "else", "or", "and", "not", "bearer", "basic", "digest"}
@@ -64,7 +66,8 @@ _TOKEN = re.compile(
 _BARE = re.compile(r"[A-Za-z0-9+/_.=\-~!@%^*&#$]+", re.ASCII)
 _NOT_A_NAME = re.compile(r"[0-9+/=~!@%^*&#]").search
 _NAME_ONLY = re.compile(r"[A-Za-z_$][A-Za-z_$.\- ]*").fullmatch
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]{0,80})>[\t ]*([^<>\n]*?)[\t ]*</\1[\t ]*>", re.ASCII)
+#: An element; no part gives back what it took, so that names and values of any length take linear time.
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)>[\t ]*+([^<>\n]*+)</\1[\t ]*+>", re.ASCII)
 #: The value after an opening tag with attributes, whose name an attribute gives.
 _CONTENT = re.compile(r">[\t ]*([^<>\n]*?)[\t ]*</", re.ASCII)
 _BLOCK = re.compile(r"[\t ]*[|>][+-]?[\t ]*\n([\t ]+)(?=\S)", re.ASCII)
@@ -74,6 +77,10 @@ _ANNOTATION = re.compile(
     re.ASCII,
 )
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
+#: What ``_NAME_ONLY`` allows, and within it what words are parted by; how far from an end what follows may change a word that scores.
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$.- ")
+_GAPS = re.compile(r"[_$.\- ]+")
+_REACH = max(map(len, SENSITIVE)) + 4
 
 Span = tuple[str, int, int]
 
@@ -97,19 +104,177 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: length, mixed classes, and entropy in bits a character."""
-    if len(value) < MIN_LITERAL or value[0] in "$<{%" or len(set(value)) < 4:
+    if len(value) < MIN_LITERAL or value[0] in "$<{%" or len(counts := Counter(value)) < 4:
         return 0.0
     if _NAME_ONLY(value) and name_score(value):
         return 0.0  # the name of a secret, as in getenv("DB_PASSWORD")
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, entropy / 4) * 0.6 + 0.2 * min(classes, 3) / 3 + 0.2 * min(1.0, len(value) / 16) if classes > 1 or entropy > 3.2 else 0.0
+    return _randomness(counts, len(value), len(value))
+
+
+def _randomness(counts: Mapping[str, float], total: float, length: float) -> float:
+    shares = [n / total for n in counts.values()]
+    entropy = -sum(p * math.log2(p) for p in shares if p)
+    classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
+    return min(1.0, entropy / 4) * 0.6 + 0.2 * min(classes, 3) / 3 + 0.2 * min(1.0, length / 16) if classes > 1 or entropy > 3.2 else 0.0
 
 
 Piece = tuple[int, int, str]
 
 
+class _Look:
+    """What ``literal_score`` takes of a text, such that it can be joined: the first character, counts of characters (times
+    2 ** ``scale``, since a value that is joined with itself grows exponentially) and, of a text of name characters only, whether
+    a sensitive word is within it (``hit``) and its ends, where words may yet change (``ends``, with "~" for what is between)."""
+
+    __slots__ = ("counts", "ends", "first", "hit", "scale")
+
+    def __init__(self, text: str = "") -> None:
+        self.counts: dict[str, float] = Counter(text)
+        self.first, self.scale, self.hit = text[:1], 0, False
+        self.ends: str | None = text if _NAME_CHARS.issuperset(self.counts) else None
+        self._shorten()
+
+    def add(self, other: _Look) -> None:
+        if not self.counts:
+            self.counts, self.ends, self.first, self.hit, self.scale = dict(other.counts), other.ends, other.first, other.hit, other.scale
+            return
+        if self.scale < other.scale:
+            self._rescale(other.scale)
+        times = 1 if self.scale == other.scale else 2.0 ** (other.scale - self.scale)
+        for c, n in other.counts.items():
+            self.counts[c] = self.counts.get(c, 0) + n * times
+        if sum(self.counts.values()) > 2**900:
+            self._rescale(self.scale + 900)
+        self.hit = self.hit or other.hit
+        self.ends = None if self.ends is None or other.ends is None else self.ends + other.ends
+        self._shorten()
+
+    def _rescale(self, scale: int) -> None:
+        times = 2.0 ** (self.scale - scale)
+        self.counts, self.scale = {c: n * times for c, n in self.counts.items()}, scale
+
+    def _shorten(self) -> None:
+        if self.ends is not None:
+            self.ends = _GAPS.sub("_", self.ends)
+            if len(self.ends) > 2 * _REACH:
+                self.hit = self.hit or _has_word(self.ends, closed=False)
+                self.ends = f"{self.ends[:_REACH]}~{self.ends[-_REACH:]}"
+
+    def score(self) -> float:
+        total = sum(self.counts.values())
+        length = math.inf if self.scale else total
+        if length < MIN_LITERAL or self.first in "$<{%" or len(self.counts) < 4:
+            return 0.0
+        if self.ends is not None and self.first not in ".- " and (self.hit or _has_word(self.ends, closed=True)):
+            return 0.0
+        return _randomness(self.counts, total, length)
+
+
+def _has_word(text: str, closed: bool) -> bool:
+    """Whether ``name_score`` is above 0 for certain: words next to a "~", or to an end that is not closed, may be parts of others."""
+    ahead = None
+    for m in _WORDS.finditer(text):
+        left = text[m.start() - 1] != "~" if m.start() else closed
+        right = text[m.end()] != "~" if m.end() < len(text) else closed
+        word = m[0].lower()
+        if right and (left and word in SENSITIVE or ahead is not None and ahead[1] + 1 >= m.start() and left and ahead[0] + word in SENSITIVE):
+            return True
+        ahead = (word, m.end()) if left else None
+    return False
+
+
+class _Held:
+    """A constant's value: the literals and other constants' values that it is joined from, shared by all it flows into."""
+
+    __slots__ = ("first", "kept", "last", "look", "only", "parts", "taken", "weight")
+
+    def __init__(self, parts: list[Piece | _Held], kept_from: int) -> None:
+        self.parts = parts
+        self.first, self.last = _first(parts[0]), _last(parts[-1])
+        #: ``only``: the literal, if it is one. ``kept``: the look is kept, since it takes many characters to get; else the value
+        #: is written out wherever it is used.
+        self.only = _only(parts)
+        self.weight = sum(p.weight if isinstance(p, _Held) else 8 + len(p[2]) for p in parts)
+        self.kept = self.weight > kept_from
+        if self.kept:
+            self.weight = kept_from // 8
+        self.look: _Look | None = None
+        self.taken = False
+
+
+Part = Piece | _Held
+
+
+def _first(part: Part) -> str:
+    return part.first if isinstance(part, _Held) else part[2]
+
+
+def _last(part: Part) -> str:
+    return part.last if isinstance(part, _Held) else part[2]
+
+
+def _distinct(parts: list[Part]) -> list[Part]:
+    return list(dict.fromkeys(parts)) if len(parts) > 1 else parts
+
+
+def _only(parts: list[Part]) -> str | None:
+    """The one literal of the value, if it is one."""
+    return None if len(parts) > 1 else parts[0].only if isinstance(parts[0], _Held) else parts[0][2]
+
+
+def _runs(parts: list[Part]) -> list[str | _Held]:
+    """The value's texts written out, but for the values whose look is kept."""
+    runs: list[str | _Held] = []
+    texts: list[str] = []
+    todo = parts[::-1]
+    while todo:
+        p = todo.pop()
+        if not isinstance(p, _Held):
+            texts.append(p[2])
+        elif p.kept:
+            runs += ["".join(texts), p]
+            texts = []
+        else:
+            todo += p.parts[::-1]
+    return [*runs, "".join(texts)]
+
+
+def value_score(parts: list[Part]) -> float:
+    """``literal_score`` of the joined value, which isn't written out beyond the parts that are short."""
+    runs = _runs(parts)
+    if len(runs) == 1:
+        return literal_score(runs[0])
+    todo = [p for p in runs if isinstance(p, _Held)]
+    while todo:
+        within = [] if todo[-1].look else _runs(todo[-1].parts)
+        if missing := [p for p in within if isinstance(p, _Held) and not p.look]:
+            todo += missing
+        else:
+            p = todo.pop()
+            p.look = p.look or _look(within)
+    return _look(runs).score()
+
+
+def _look(runs: list[str | _Held]) -> _Look:
+    look = _Look()
+    for r in runs:
+        if r:
+            look.add(r.look if isinstance(r, _Held) else _Look(r))
+    return look
+
+
+def _taken(parts: list[Part]) -> Iterator[Piece]:
+    """The value's literals, less those of constants that were taken before."""
+    todo = list(parts)
+    while todo:
+        p = todo.pop()
+        if not isinstance(p, _Held):
+            yield p
+        elif not p.taken:
+            p.taken = True
+            todo += p.parts
+
+
 class _Frame:
     """The statement being read within one bracket, or within a comment or string, that end at ``until``."""
 
@@ -124,37 +289,35 @@ class _Frame:
         #: name that takes a value without a mark, "wrapped" when the value is on a further line, "unknown" after a name that
         #: holds no constant, "done" after a value. ``last``: kind of the last token.
         self.name, self.assigned, self.state, self.last, self.next_name = "", False, "", "", ""
-        self.group: list[Piece] = []
-        self.groups: list[list[Piece]] = []
+        self.group: list[Part] = []
+        self.groups: list[list[Part]] = []
 
 
-def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Piece]]]:
-    """(name, literals that flow into it joined) for each value in ``text[start:stop]``, constants propagated."""
-    held: dict[str, list[Piece]] = {}
+def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Part]]]:
+    """(name, literals and constants' values that flow into it joined) for each value in ``text[start:stop]``."""
+    held: dict[str, _Held] = {}
+    kept_from = KEPT_FROM if text.isascii() else max(KEPT_FROM, len(set(text)))
     frames = [_Frame()]
-    out: list[tuple[str, list[Piece]]] = []
+    out: list[tuple[str, list[Part]]] = []
 
     def finish(f: _Frame) -> None:
         """Ends the frame's statement."""
         groups = [g for g in (*f.groups, f.group) if g]
         if f.assigned:
-            name = f.name.lower()
+            name, groups = f.name.lower(), [_distinct(g) for g in groups]
             if name in LABELS:
-                f.label = groups[0][0][2] if groups else f.next_name
+                f.label = _first(groups[0][0]) if groups else f.next_name
             elif groups:
                 out.extend((f.name, g) for g in groups)
                 if f.label and name in VALUES:
                     out.extend((f.label, g) for g in groups)
-                pieces = list(dict.fromkeys(p for g in groups for p in g))
-                if len(pieces) <= MAX_PIECES:
-                    held[f.name] = pieces
-                else:
-                    held.pop(f.name, None)
+                parts = _distinct([p for g in groups for p in g])
+                held[f.name] = parts[0] if len(parts) == 1 and isinstance(parts[0], _Held) else _Held(parts, kept_from)
         elif groups and f.kind in ("(", "[", "{"):
             if f.label:
-                out.extend((f.label, g) for g in groups)
-            elif f.kind == "(" and len(f.group) == 1 and _NAME_ONLY(f.group[0][2]) and name_score(f.group[0][2]):
-                f.label = f.group[0][2]
+                out.extend((f.label, _distinct(g)) for g in groups)
+            elif f.kind == "(" and f.group and (only := _only(_distinct(f.group))) and _NAME_ONLY(only) and name_score(only):
+                f.label = only
             outer = frames[-2] if len(frames) > 1 else f
             if outer.assigned:
                 outer.groups += groups
@@ -214,7 +377,7 @@ def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Pi
             if not f.assigned:
                 if colon and f.last == "op":
                     continue
-                if name := f.group[-1][2] if f.last in ("string", "]") and f.group else f.name:
+                if name := _last(f.group[-1]) if f.last in ("string", "]") and f.group else f.name:
                     target(f, name)
                     if colon and (typed := _ANNOTATION.match(text, at, stop)):
                         # A type, or in prose a name of its own: of the two the more sensitive one.
@@ -226,7 +389,7 @@ def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Pi
                 finish(f)
                 target(f, name)
             elif f.state == "wrapped" and f.last == "string" and f.group:
-                name = f.group[-1][2]
+                name = _last(f.group[-1])
                 f.group = []
                 finish(f)
                 target(f, name)
@@ -256,7 +419,9 @@ def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Pi
                     f.group, f.last = [], "bare"
                     continue
                 if word in held and (f.last == "op" or f.kind in ("(", "[")):
-                    f.group = list(dict.fromkeys([*(f.group if f.last == "op" else []), *held[word]]))[: MAX_PIECES + 1]
+                    if f.last != "op":
+                        f.group = []
+                    f.group.append(held[word])
                 elif f.last != "op":
                     f.group = []
                 if f.last == "setter":
@@ -268,7 +433,7 @@ def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Pi
             elif f.state == "done":
                 f.next_name = word if kind == "name" else f.next_name
             elif kind == "name" and word in held and f.name.lower() not in LABELS:
-                f.group = list(dict.fromkeys(f.group + held[word]))[: MAX_PIECES + 1]
+                f.group.append(held[word])
                 f.next_name, f.last = word, "name"
             elif word.lower() in KEYWORDS:
                 if f.group:
@@ -316,8 +481,8 @@ def lexed_pairs(text: str, start: int, stop: int) -> Iterator[tuple[str, list[Pi
         elif word == "<":
             if element := _ELEMENT.match(text, m.start(), stop):
                 finish(f)
-                if element.start(2) < element.end(2):
-                    out.append((element[1], [(element.start(2), element.end(2), element[2])]))
+                if value := element[2].rstrip("\t "):
+                    out.append((element[1], [(element.start(2), element.start(2) + len(value), value)]))
                 at = element.end()
             elif f.kind not in ("(", "["):
                 finish(f)
@@ -374,13 +539,13 @@ def named_spans(text: str) -> list[Span]:
     if not may_name(text):
         return []
     found: set[Span] = set()
-    for name, literals in lexed_pairs(text, 0, len(text)):
+    for name, parts in lexed_pairs(text, 0, len(text)):
         sensitive = name_score(name)
         if not sensitive:
             continue
-        looks = literal_score("".join(v for _, _, v in literals))
+        looks = value_score(parts)
         if looks and sensitive + looks >= MIN_SCORE:
-            found |= {("named", a, b) for a, b, v in literals if len(v) >= 2}
+            found |= {("named", a, b) for a, b, v in _taken(parts) if len(v) >= 2}
     return sorted(found, key=lambda s: s[1:])
 
 

@@ -202,6 +202,58 @@ def test_no_text_takes_more_than_linear_time(part):
     assert time.perf_counter() - began < 20
 
 
+def joined(first, n):
+    return " + ".join(f'"x{i}Qz"' for i in range(first, first + n))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"colour = {joined(0, 257)}\napi_token = colour\n",
+        f"a = {joined(0, 200)}\nb = {joined(200, 200)}\napi_token = a + b\n",
+        f"a = {joined(0, 200)}\nb = {joined(200, 200)}\nf('api_token', a + b)\n",
+        "a = 'x0Qz'\n" + "".join(f"a = a + 'x{i}Qz'\n" for i in range(1, 3000)) + "api_token = a\n",
+        "a0 = 'x0Qz'\n" + "".join(f"a{i} = a{i - 1} + 'x{i}Qz'\n" for i in range(1, 3000)) + "b = a2999\napi_token = b + 'last9Q'\n",
+    ],
+)
+def test_values_of_any_number_of_literals_go_through_names(text):
+    strings = [m.span(2) for m in re.finditer(r"""(["'])([^"']*)\1""", text) if m[2] != "api_token"]
+    assert [(a, b) for _, a, b in secret_scan.named_spans(text)] == strings and len(strings) > 256
+
+
+@pytest.mark.parametrize("length", [1, 80, 81, 5000])
+def test_elements_with_names_of_any_length(length):
+    name = "auth_key" + "_" * length
+    text = f"<{name}>\t Zx81kkq99Ab \t</{name} >"
+    assert [text[a:b] for _, a, b in secret_scan.named_spans(text)] == ["Zx81kkq99Ab"]
+    assert secret_scan.named_spans(f"token=1 <{name}>{' ' * 100_000}\n") == []
+
+
+@pytest.mark.parametrize("part", ['token = token + "y7"\n', 'token = token + "pq"\n', 'b = token + "x1"\ntoken = token + b\n', 'b = token + "pq"\nc = b + token\ntoken = c\n'])
+def test_joined_values_take_linear_time(part):
+    text = 'token = "x0qW7"\n' + part * (1_000_000 // len(part))
+    began = time.perf_counter()
+    secret_scan.scan(text)
+    assert time.perf_counter() - began < 60
+
+
+def test_joined_values_score_as_if_written_out():
+    g = random.Random(15)
+    words = [*secret_scan.SENSITIVE, "pass", "word", "Api", "KEY", "K", "ey", "Ab", "aB", "_", ".", "-", " ", "$", "s", "S", "auth", "orization", "cre", "dentials"]
+    kept = 0
+    for _ in range(4000):
+        alphabet, kept_from = (words if g.random() < 0.7 else [*words, "1", "é", "x9", "{", "+"]), g.choice([1, 8, 30, 60, 200, 512])
+        values, texts = [], []
+        for at in range(g.randint(1, 8)):
+            picked = [g.randrange(at) if at and g.random() < 0.5 else "".join(g.choices(alphabet, k=g.choice([0, 1, 1, 2, 3, 8]))) for _ in range(g.randint(1, 5))]
+            values.append(secret_scan._Held([(0, 0, p) if isinstance(p, str) else values[p] for p in picked], kept_from))
+            texts.append("".join(p if isinstance(p, str) else texts[p] for p in picked))
+        for i in g.sample(range(len(values)), len(values)):
+            kept += values[i].kept
+            assert secret_scan.value_score([values[i]]) == secret_scan.literal_score(texts[i]), texts[i]
+    assert kept > 5000
+
+
 def test_no_hint_means_no_pair(monkeypatch):
     g = random.Random(8)
     parts = [*secret_scan.SENSITIVE, "pass", "word", "Api", "Key", "to", "ken", "--", "-", "_", ".", " ", " ", "\n", "=", ":", "=>", '"', "'", "[", "]", "é", "Zx81kkq99AbCd77pQ", "hunter2!Aa", "colour"]
